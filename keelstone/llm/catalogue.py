@@ -2,9 +2,14 @@
 
 from __future__ import annotations
 
-from keelstone.llm import simhash
+from keelstone.llm import hostrules, mixing, simhash
 
 QUERIES = {
+    "op4_mix": mixing.op4_mix,
     "op8_simhash": simhash.op8_simhash,
+    "op9_host_rules": hostrules.op9_host_rules,
+}
+ORACLES: dict[str, str] = {
+    "op4_mix": mixing.ORACLE,
+    "op9_host_rules": hostrules.ORACLE,
 }
-ORACLES: dict[str, str] = {}
