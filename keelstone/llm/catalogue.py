@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from keelstone.llm import hostrules, mixing, simhash
+from keelstone.llm import hostrules, mixing, packing, simhash
 
 QUERIES = {
+    "op1_pack": packing.op1_pack,
     "op4_mix": mixing.op4_mix,
     "op8_simhash": simhash.op8_simhash,
     "op9_host_rules": hostrules.op9_host_rules,
