@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from keelstone.llm import hostrules, mixing, packing, simhash, substrings, tokencount
+from keelstone.llm import hostrules, mixing, neighbours, packing, simhash, substrings, tokencount
 
 QUERIES = {
     "op1_pack": packing.op1_pack,
     "op2_substrings": substrings.op2_substrings,
     "op3_tokens": tokencount.op3_tokens,
+    "op5_neighbours": neighbours.op5_neighbours,
     "op4_mix": mixing.op4_mix,
     "op8_simhash": simhash.op8_simhash,
     "op9_host_rules": hostrules.op9_host_rules,
