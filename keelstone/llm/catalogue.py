@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from keelstone.llm import hostrules, mixing, neighbours, packing, simhash, substrings, tokencount
+from keelstone.llm import hostrules, language, mixing, neighbours, packing, secrets, simhash, substrings, tokencount
 
 QUERIES = {
     "op1_pack": packing.op1_pack,
@@ -10,8 +10,10 @@ QUERIES = {
     "op3_tokens": tokencount.op3_tokens,
     "op5_neighbours": neighbours.op5_neighbours,
     "op4_mix": mixing.op4_mix,
+    "op7_secrets": secrets.op7_secrets,
     "op8_simhash": simhash.op8_simhash,
     "op9_host_rules": hostrules.op9_host_rules,
+    "op10_language": language.op10_language,
 }
 ORACLES: dict[str, str] = {
     "op4_mix": mixing.ORACLE,

@@ -1,0 +1,53 @@
+import re
+
+import pyarrow.parquet as pq
+
+from keelstone.llm import secrets
+
+SF = "/root/testdata/sf0.01"
+KEY = "24be64439e3e49cf46b2d7c90f3602a3d0b907ff"
+
+
+def plain(rows):
+    """(id, word index, ordinal, candidate) by Python's own expressions."""
+    out = []
+    for d, t in rows:
+        for i, w in enumerate((t or "").encode().split()):
+            for k, m in enumerate(re.finditer(secrets.CANDIDATE, w.decode())):
+                out.append((str(d), i, k, m[0]))
+    return sorted(out)
+
+
+def test_candidates_and_verdicts(spark):
+    docs = spark.read.parquet(f"{SF}/documents.parquet")
+    rows = [(r["doc_id"], r["text"]) for r in pq.read_table(f"{SF}/documents.parquet").to_pylist()]
+    got = secrets.scan(docs).collect()
+    assert sorted((str(r["id"]), r["word_index"], r["ordinal"], r["candidate"]) for r in got) == plain(rows)
+    planted = {(d, m[1]) for d, t in rows for m in re.finditer(r'token = "([0-9a-f]{40})"', t)}
+    flagged = {(r["id"], r["candidate"]) for r in got if r["is_secret"]}
+    assert planted and len(planted & flagged) >= 0.97 * len(planted)
+    assert len(flagged - planted) <= 0.02 * len(flagged) + 1
+
+
+def test_false_findings_are_removed_on_held_out_findings(spark):
+    names = "candidate string, before string, after string, path string, label int"
+    model = secrets.train(spark, spark.createDataFrame(secrets.labelled_findings(1000, 1), names).coalesce(1))
+    held = spark.createDataFrame(secrets.labelled_findings(600, 2), names)
+    rows = model.transform(secrets.VectorAssembler(inputCols=secrets.FEATURES, outputCol="features").transform(secrets.described(held))).select("label", "prediction").collect()
+    assert sum(r["label"] == r["prediction"] for r in rows) / len(rows) > 0.95
+
+
+def test_odd_rows_and_redaction(spark):
+    rows = [
+        (1, f'the token = "{KEY}" ends', "src1", 57), (1, f'the token = "{KEY}" ends', "src1", 57), (2, None, None, 0), (3, "", "x", 0), (None, f"secret: {KEY} and {KEY}", None, 9),
+        (4, "call 4785380592391139 or mail2.example.com", "src2", 42), (5, "a" * 200_000 + "1", "src2", 200_001), (6, "x " * 20_000 + f"password={KEY}", None, 7), (7, f'key "{KEY}"### secret "{KEY[:32]}"', "s", 5),
+    ]
+    df = spark.createDataFrame([(*r, 0, "k") for r in rows], "doc_id long, text string, source string, n_chars long, candidate int, _secrets string")
+    assert len(secrets.scan(df).collect()) == len(plain([r[:2] for r in rows]))
+    out = secrets.redact(df)
+    assert out.columns == df.columns
+    got = sorted(((str(r["doc_id"]), r["text"], r["n_chars"]) for r in out.collect()), key=str)
+    want = sorted(((str(d), t if t is None else t.replace(KEY, "[SECRET]").replace(KEY[:32], "[SECRET]"), n) for d, t, _, n in rows), key=str)
+    assert [g[:2] for g in got] == [w[:2] for w in want]
+    assert all(n == len(t) for d, t, n in got if t and "[SECRET]" in t)
+    assert secrets.scan(df.limit(0)).count() == 0 and secrets.redact(df.limit(0)).count() == 0
