@@ -82,10 +82,17 @@ def mix(
     A large source is not ordered in one task: keys fall into slices, whose
     sums are prefix-summed, and each slice orders its own documents.
     """
-    kind = docs.schema[id_col].dataType.simpleString()
-    narrow = docs.select(
-        F.col(id_col).alias("id"), F.col(source_col).alias("source"), F.size(word_list(F.col(text_col).cast("string"))).cast("long").alias("size"), (weight_of if weight_of is not None else quality(F.col(text_col).cast("string"))).alias("w")
-    )
+    chosen = turns(docs, id_col, text_col, source_col, weights, weight_of, slice_rows)
+    return chosen.select(F.col("id").alias(id_col), "size", "source_size", "target", (F.col("size") * F.col("times")).alias("taken"))
+
+
+def words_in(text_col: str) -> Column:
+    return F.size(word_list(F.col(text_col).cast("string"))).cast("long")
+
+
+def turns(docs: DataFrame, id_col: str, text_col: str, source_col: str, weights: tuple[int, ...] = WEIGHTS, weight_of: Column | None = None, slice_rows: int = SLICE) -> DataFrame:
+    """id, source, size, source_size, target and times (how often the mix takes the document)."""
+    narrow = docs.select(F.col(id_col).alias("id"), F.col(source_col).alias("source"), words_in(text_col).alias("size"), (weight_of if weight_of is not None else quality(F.col(text_col).cast("string"))).alias("w"))
     keyed = as_table(narrow.withColumn("key", -F.log(uniform(F.col("id"), F.col("size"))) / F.col("w")), "keys")
     whole = keyed.groupBy("source").agg(F.sum("size").alias("source_size"), F.count("*").alias("n"))
     plan = targets(whole.select("source", "source_size"), weights).withColumnRenamed("source", "s1")
@@ -104,8 +111,26 @@ def mix(
     placed = rows.join(starts, F.col("s1").eqNullSafe(F.col("s3")) & (F.col("part") == F.col("p3")))
     within = Window.partitionBy("s1", "part").orderBy("key", "id", "size").rowsBetween(Window.unboundedPreceding, -1)
     upto = F.col("start") + F.coalesce(F.sum("size").over(within), F.lit(0))
-    chosen = placed.withColumn("upto", upto).withColumn("taken", F.col("size") * (F.col("epochs") + ((F.col("upto") + F.col("size") / 2) <= F.col("rest")).cast("long")))
-    return chosen.select(F.col("id").cast(kind).alias(id_col), "size", "source_size", "target", "taken")
+    more = (F.col("upto") + F.col("size") / 2 <= F.col("rest")).cast("long")
+    return placed.withColumn("upto", upto).select("id", "source", "size", "source_size", "target", (F.col("epochs") + more).alias("times"))
+
+
+def repeated(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", weights: tuple[int, ...] = WEIGHTS) -> DataFrame:
+    """docs as the mix takes them: each row as often as ``mix`` says, those not taken left out.
+
+    Rows meet their turns by id, source and size and, among rows equal in
+    these, by number.
+    """
+    # Columns by number, so that no name clashes.
+    names = {c: f"c{k}" for k, c in enumerate(docs.columns)}
+    mine, text, source = names[id_col], names[text_col], names[source_col]
+    rows = docs.toDF(*names.values()).withColumn("size", words_in(text))
+    rows = rows.withColumn("n", F.row_number().over(Window.partitionBy(mine, source, "size").orderBy(text)))
+    taken = turns(docs, id_col, text_col, source_col, weights)
+    taken = taken.select("id", "source", F.col("size").alias("words"), "times", F.row_number().over(Window.partitionBy("id", "source", "size").orderBy(F.desc("times"))).alias("turn"))
+    met = rows.join(taken, F.col(mine).eqNullSafe(F.col("id")) & F.col(source).eqNullSafe(F.col("source")) & (F.col("size") == F.col("words")) & (F.col("n") == F.col("turn")))
+    again = met.where(F.col("times") > 0).withColumn("again", F.explode(F.sequence(F.lit(1), F.col("times").cast("int"))))
+    return again.select(*[F.col(n).alias(c) for c, n in names.items()])
 
 
 def op4_mix(spark: SparkSession, sf_dir: str) -> DataFrame:

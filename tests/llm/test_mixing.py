@@ -1,3 +1,5 @@
+from collections import Counter
+
 import pandas as pd
 import pytest
 
@@ -53,3 +55,18 @@ def test_taken_words_come_near_the_targets(spark):
         by.setdefault((r["source_size"], r["target"]), []).append(r)
     for (_, target), own in by.items():
         assert abs(sum(r["taken"] for r in own) - target) <= max(r["size"] for r in own)
+
+
+def test_repeated_rows_are_the_taken_ones(spark):
+    df = spark.createDataFrame([(*r, 1, "k") for r in ROWS], "doc_id long, text string, source string, size int, n string")
+    out = mixing.repeated(df)
+    assert out.columns == df.columns
+    words = lambda t: len((t or "").encode().split())
+    got = Counter()
+    for r in out.collect():
+        got[r["doc_id"]] += words(r["text"])
+    want = Counter()
+    for r in mixing.mix(df).collect():
+        want[r["doc_id"]] += r["taken"]
+    assert +got == +want and sum(want.values()) > 0
+    assert mixing.repeated(df.limit(0)).count() == 0
