@@ -8,6 +8,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 from dataclasses import dataclass
+from decimal import Decimal
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -28,7 +29,7 @@ SUM = Resolver("sum", lambda v, o: F.sum(v), True)
 MIN = Resolver("min", lambda v, o: F.min(v), True)
 MAX = Resolver("max", lambda v, o: F.max(v), True)
 #: Sums of unsigned 64-bit numbers, modulo 2**64.
-SUM_WORD64 = Resolver("sum_word64", lambda v, o: F.pmod(F.sum(v.cast("decimal(38,0)")), F.lit(1 << 64).cast("decimal(38,0)")).cast("decimal(20,0)"), True)
+SUM_WORD64 = Resolver("sum_word64", lambda v, o: F.pmod(F.sum(v.cast("decimal(38,0)")), F.lit(Decimal(1 << 64))).cast("decimal(20,0)"), True)
 
 
 def fold(name: str, step: Callable[[Column, Column], Column]) -> Resolver:
