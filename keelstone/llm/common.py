@@ -36,7 +36,8 @@ def as_table(df: DataFrame, name: str) -> DataFrame:
     """Write df to the shared folder and read it back: lineage ends here.
 
     A lost executor costs only the tasks that it ran, and later steps reread
-    the files. The shuffle files behind df are given up once it is written.
+    the files. The shuffle files behind df are given up once it is written, and
+    the table itself goes with the application.
     """
     spark = df.sparkSession
     path = f"{scratch_dir(spark)}/keelstone/{name}-{uuid.uuid4().hex}"
@@ -47,6 +48,8 @@ def as_table(df: DataFrame, name: str) -> DataFrame:
         df.write.option("compression", "zstd").parquet(path)
     finally:
         spark.conf.set(key, before)
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(at)
     return spark.read.schema(df.schema).parquet(path)
 
 
