@@ -14,7 +14,8 @@ class TableConfig:
     leaves it to ``compact``. bloom: false-positive rate of the Parquet filters
     on keys, or ``bits:n`` per entry. fence_index: ``ordinary`` or ``compact``
     (Parquet's column index serves both). cache: ``all``, ``none`` or a number
-    of levels whose state is persisted. merge_batch: entries per merge step.
+    of levels; it is kept with the table, and Spark's readers decide by
+    themselves. merge_batch: entries per merge step.
     """
 
     merge_policy: str = "lazy_levelling"

@@ -79,7 +79,3 @@ class CursorClosedError(KeelstoneError):
 
 class InvalidSnapshotNameError(KeelstoneError):
     """A snapshot name holds other characters than a-z, 0-9, - and _, or is too long, or is reserved."""
-
-
-class UnionDebtError(KeelstoneError):
-    """Internal accounts of a union disagree."""

@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from keelstone import errors
-from keelstone.operators.table import Entry, Table, entry
+from keelstone.operators.table import Entry, Table, collected, entry
 from keelstone.plans.resolve import level_state
 
 
@@ -50,7 +50,7 @@ class Cursor:
     def take(self, n: int) -> list[Entry]:
         """Up to n entries; the cursor moves behind them."""
         with self._lock:
-            rows = [entry(r) for r in self.frame().limit(max(0, n)).collect()]
+            rows = [entry(r) for r in collected(self.frame().limit(max(0, n)))]
             if rows:
                 self.last = rows[-1].key
             return rows
@@ -71,10 +71,10 @@ class Cursor:
             test = holds(F.col("k"))
             if isinstance(test, Column):
                 ahead = prefix(ahead, test, self.table)
-                rows = [entry(r) for r in ahead.orderBy(*order).limit(max(0, n)).collect()]
+                rows = [entry(r) for r in collected(ahead.orderBy(*order).limit(max(0, n)))]
             else:
                 rows = []
-                for r in ahead.orderBy(*order).limit(max(0, n)).collect():
+                for r in collected(ahead.orderBy(*order).limit(max(0, n))):
                     if not holds(r["k"]):
                         break
                     rows.append(entry(r))

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import itertools
+import re
 import threading
 from collections.abc import Iterable, Sequence
 from dataclasses import dataclass, field
@@ -16,7 +17,7 @@ from keelstone.config import TableConfig
 from keelstone.functions.codecs import INT64, Codec
 from keelstone.functions.resolvers import FIRST, Resolver
 from keelstone.operators.session import Session
-from keelstone.plans.resolve import hot_keys, level_state, lookups, merged_log, union_state
+from keelstone.plans.resolve import hot_keys, level_state, lookups, merged_log
 
 #: A run holds fewer entries than this.
 RUN_LIMIT = 1 << 40
@@ -24,6 +25,7 @@ RUN_LIMIT = 1 << 40
 HOT_ENTRIES = 10_000_000
 #: Numbers of a batch's entries; the batch's own number stands above them.
 BATCH_BITS = 40
+BATCHES = 1 << 22
 REF = "struct<run: string, seq: bigint>"
 
 
@@ -115,7 +117,7 @@ class Table:
     def __post_init__(self) -> None:
         self.session.check()
         self.ident, _ = self.session.fresh("table")
-        self.closed, self._lock, self._cached = False, threading.RLock(), {}
+        self.closed, self._lock = False, threading.RLock()
         self.session.keep(self)
         self.trace("new_table")
 
@@ -132,9 +134,6 @@ class Table:
         if not self.closed:
             self.trace("close_table")
             self.closed = True
-            for df in self._cached.values():
-                df.unpersist()
-            self._cached.clear()
 
     def __enter__(self) -> Table:
         return self
@@ -178,7 +177,7 @@ class Table:
     def lookups(self, keys: Sequence[Any]) -> list[LookupResult]:
         """Result i answers key i; keys may repeat."""
         frame = self.session.spark.createDataFrame(list(enumerate(keys)), f"ordinal int, k {self.key.spark_type}")
-        rows = self.lookup_frame(frame).collect() if keys else []
+        rows = collected(self.lookup_frame(frame)) if keys else []
         out = {r["ordinal"]: LookupResult(r["found"], r["v"], _ref(r["blob"])) for r in rows}
         return [out[i] for i in range(len(keys))]
 
@@ -200,7 +199,7 @@ class Table:
         return level_state(self.log().where(inside), self.resolver).orderBy(*self.key.order(k))
 
     def range_lookup(self, bounds: Range) -> list[Entry]:
-        return [entry(r) for r in self.range_frame(bounds).collect()]
+        return [entry(r) for r in collected(self.range_frame(bounds))]
 
     def retrieve_blobs(self, refs: Sequence[BlobRef]) -> list[bytes]:
         """The blobs, in order; the first reference without one raises its index."""
@@ -227,8 +226,10 @@ class Table:
                     return
                 batch = spark.createDataFrame(rows, f"ordinal bigint, k {self.key.spark_type}, op string, v {self.value_type}, blob binary")
             number = self.content.batches + 1
+            if number >= BATCHES:
+                raise errors.TableTooLargeError("too many batches")
             _, path = self.session.fresh("run")
-            seq = (F.lit(number << BATCH_BITS) if number < 1 << 22 else F.lit(0)) + F.col("ordinal").cast("bigint")
+            seq = F.lit(number << BATCH_BITS) + F.col("ordinal").cast("bigint")
             rows = batch.select("k", seq.alias("seq"), "op", F.col("v").cast(self.value_type).alias("v"), F.when(F.col("op") == "I", F.col("blob")).alias("bytes"))
             ref = F.when(F.col("bytes").isNotNull(), F.struct(F.lit(path).alias("run"), F.col("seq")))
             self._write(rows.select("k", "seq", "op", "v", ref.alias("blob")), path)
@@ -308,6 +309,16 @@ class Table:
         return Table(self.session, self.key, self.value_type, self.resolver, self.config, Content(self.content.runs, union, self.content.batches))
 
 
+def collected(df: DataFrame) -> list:
+    """The rows; a run that is missing or cut short is an error of its own."""
+    try:
+        return df.collect()
+    except Exception as e:
+        if re.search("FAILED_READ_FILE|FileNotFoundException|PATH_NOT_FOUND|is not a Parquet file", str(e)):
+            raise errors.TableCorruptedError(str(e)[:500]) from e
+        raise
+
+
 def entry(r) -> Entry:
     return Entry(r["k"], r["v"], _ref(r["blob"]))
 
@@ -349,5 +360,3 @@ def blob_frame(session: Session, state: DataFrame, runs: Sequence[Run]) -> DataF
     at: Column = (F.col("blob.run") == F.col("run")) & (F.col("blob.seq") == F.col("seq"))
     return state.join(blobs, at, "left").drop("run", "seq")
 
-
-__all__ = ["union_state"]

@@ -61,11 +61,6 @@ class Files:
         finally:
             stream.close()
 
-    def sizes(self, path: str) -> dict[str, int]:
-        """Length of each data file in a table folder."""
-        fs, p = self._at(path)
-        return {s.getPath().getName(): s.getLen() for s in fs.listStatus(p) if s.getPath().getName().startswith("part-")}
-
     def sums(self, path: str) -> dict[str, list[int]]:
         """[length, CRC-32] of each data file in a table folder, read in blocks."""
         fs, p = self._at(path)

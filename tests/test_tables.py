@@ -192,6 +192,16 @@ def test_sessions_and_closed_handles(spark):
         Session.restore(spark, empty)
 
 
+def test_a_cut_run_is_an_error(session):
+    t = text_table(session)
+    t.insert(1, "one")
+    run = t.content.runs[0].path
+    for name in session.files.sums(run):
+        session.files.write(f"{run}/{name}", b"cut", overwrite=True)
+    with pytest.raises(errors.TableCorruptedError):
+        t.lookup(1)
+
+
 def test_simple_tables(session):
     a, b = simple.SimpleTable(session, UTF8, "bigint"), simple.SimpleTable(session, UTF8, "bigint")
     a.inserts([("x", 1), ("y", 2)])
