@@ -17,14 +17,25 @@ from keelstone.llm.common import as_table, documents, map_batches, utf8
 WINDOW = 35
 #: Words of a minimiser.
 MINIMISER = 4
-#: Share of the documents in which common minimisers are looked for.
+#: Share of the documents in which common m-mers are looked for.
 SAMPLE = 1 / 64
-#: A minimiser found this often in that share is common ...
+#: One found this often in that share is common ...
 COMMON = 48
 #: ... if it is also more than this share of all those found: so many at most.
 MOST_COMMON = 100_000
 
 
+def m_mers(words: list[bytes], m: int = MINIMISER) -> np.ndarray:
+    """A well-mixed number for each run of m words."""
+    h = np.fromiter((xxh64_intdigest(w) for w in words), np.uint64, len(words))
+    grams = np.zeros(max(0, len(words) - m + 1), np.uint64)
+    for j in range(m):
+        grams = grams * np.uint64(0x9E3779B97F4A7C15) + h[j : len(grams) + j]
+    grams ^= grams >> np.uint64(29)
+    grams *= np.uint64(0xBF58476D1CE4E5B9)
+    return grams ^ grams >> np.uint64(32)
+
+
 def minimisers(words: list[bytes], common: np.ndarray, window: int = WINDOW, m: int = MINIMISER) -> tuple[np.ndarray, np.ndarray]:
     """(position, value) of each window's minimiser: its least m-mer, the leftmost of equals.
 
@@ -32,13 +43,7 @@ def minimisers(words: list[bytes], common: np.ndarray, window: int = WINDOW, m:
     other, so that a passage in very many documents draws no window that
     reaches beyond it into its own bucket.
     """
-    h = np.fromiter((xxh64_intdigest(w) for w in words), np.uint64, len(words))
-    grams = np.zeros(len(words) - m + 1, np.uint64)
-    for j in range(m):
-        grams = grams * np.uint64(0x9E3779B97F4A7C15) + h[j : len(grams) + j]
-    grams ^= grams >> np.uint64(29)
-    grams *= np.uint64(0xBF58476D1CE4E5B9)
-    grams ^= grams >> np.uint64(32)
+    grams = m_mers(words, m)
     order = grams >> np.uint64(1)
     if common.size:
         order = order | np.isin(grams, common).astype(np.uint64) << np.uint64(63)
@@ -111,21 +116,22 @@ def by_minimiser(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, list[
         yield last, kept
 
 
-def common_minimisers(docs: DataFrame, window: int, m: int, share: float = SAMPLE, least: int = COMMON) -> np.ndarray:
-    """Minimisers that many windows share, found in a share of the documents.
+def common_m_mers(docs: DataFrame, window: int, m: int, share: float = SAMPLE, least: int = COMMON) -> np.ndarray:
+    """M-mers that many texts share, found in a share of the documents.
 
     At most MOST_COMMON of them. They decide which way a window goes, never
     whether it counts as repeated.
     """
-    none = np.array([], np.uint64)
 
     def run(t: pa.Table) -> pa.Table:
-        found = Counter(v for x in t["text"].to_pylist() if x for _, _, v, _ in super_k_mers(x, none, window, m))
-        return pa.table({"mini": pa.array(list(found), pa.int64()), "n": pa.array(list(found.values()), pa.int64())})
+        words = [x.split() for x in t["text"].to_pylist() if x]
+        grams = [m_mers(w, m) for w in words if len(w) >= window]
+        value, n = np.unique(np.concatenate(grams) if grams else np.zeros(0, np.uint64), return_counts=True)
+        return pa.table({"gram": value.view(np.int64)[n > 1], "n": n[n > 1]})
 
-    counts = as_table(map_batches(docs.sample(share, seed=17), run, "mini long, n long").groupBy("mini").agg(F.sum("n").alias("n")).where("n > 1"), "minimisers")
+    counts = as_table(map_batches(docs.sample(share, seed=17), run, "gram long, n long").groupBy("gram").agg(F.sum("n").alias("n")), "m-mers")
     total = counts.agg(F.sum("n")).first()[0] or 0
-    rows = counts.where(F.col("n") > max(least, total // MOST_COMMON)).select("mini").collect()
+    rows = counts.where(F.col("n") > max(least, total // MOST_COMMON)).select("gram").collect()
     return np.sort(np.array([r[0] for r in rows], np.int64).view(np.uint64))
 
 
@@ -138,7 +144,7 @@ def repeated_runs(docs: DataFrame, window: int = WINDOW, m: int = MINIMISER, sha
     summed up by string first; what is left, each string once with its count,
     goes through the same buckets.
     """
-    common = common_minimisers(docs, window, m, share, common_least)
+    common = common_m_mers(docs, window, m, share, common_least)
 
     def cut(t: pa.Table) -> Iterator[pa.Table]:
         uid, pos, mini, packed = [], [], [], []
