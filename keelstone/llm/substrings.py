@@ -4,10 +4,12 @@ from __future__ import annotations
 
 import hashlib
 from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
+from functools import cached_property
 
 import numpy as np
 import pyarrow as pa
+import zstandard
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from xxhash import xxh64_intdigest
@@ -23,6 +25,8 @@ SAMPLE = 1 / 64
 COMMON = 48
 #: ... if it is also more than this share of all those found: so many at most.
 MOST_COMMON = 100_000
+#: Bounds of the documents that the packer's dictionary is made from.
+PACK_DOCS, PACK_CHARS = 200, 20_000
 
 
 def m_mers(words: list[bytes], m: int = MINIMISER) -> np.ndarray:
@@ -68,20 +72,43 @@ def super_k_mers(text: bytes, common: np.ndarray, window: int = WINDOW, m: int =
         yield a, b - a, values[a], packed[starts[a] : ends[b + window - 2]]
 
 
+class Packer:
+    """Packs short strings with a shared dictionary: equal strings have equal packed bytes."""
+
+    def __init__(self, samples: list[bytes], size: int = 1 << 16) -> None:
+        self.dictionary = b""
+        if len(samples) >= 100:
+            self.dictionary = zstandard.train_dictionary(size, samples).as_bytes()
+
+    @cached_property
+    def _codecs(self) -> tuple:
+        shared = zstandard.ZstdCompressionDict(self.dictionary) if self.dictionary else None
+        return zstandard.ZstdCompressor(level=3, dict_data=shared, write_dict_id=False), zstandard.ZstdDecompressor(dict_data=shared)
+
+    def __getstate__(self) -> dict:
+        return {"dictionary": self.dictionary}
+
+    def pack(self, x: bytes) -> bytes:
+        return self._codecs[0].compress(x)
+
+    def unpack(self, x: bytes) -> bytes:
+        return self._codecs[1].decompress(x)
+
+
 def windows(packed: bytes, window: int = WINDOW) -> list[bytes]:
     words = packed.split(b" ")
     return [b" ".join(words[i : i + window]) for i in range(len(words) - window + 1)]
 
 
-def repeated(rows: list[tuple[bytes, int]], window: int = WINDOW) -> dict[bytes, list[tuple[int, int]]]:
+def repeated(rows: list[tuple[bytes, int]], unpack: Callable[[bytes], bytes], window: int = WINDOW) -> dict[bytes, list[tuple[int, int]]]:
     """Runs (first, number) of the repeated windows of each packed string; rows: (packed, times) of one minimiser."""
     times = Counter()
     for packed, n in rows:
         times[packed] += n
     if len(times) == 1:
         ((packed, n),) = times.items()
-        return {packed: [(0, packed.count(b" ") + 2 - window)]} if n > 1 else {}
-    own = {packed: windows(packed, window) for packed in times}
+        return {packed: [(0, unpack(packed).count(b" ") + 2 - window)]} if n > 1 else {}
+    own = {packed: windows(unpack(packed), window) for packed in times}
     counts = Counter()
     for packed, n in times.items():
         for w in own[packed]:
@@ -135,6 +162,12 @@ def common_m_mers(docs: DataFrame, window: int, m: int, share: float = SAMPLE, l
     return np.sort(np.array([r[0] for r in rows], np.int64).view(np.uint64))
 
 
+def pack_samples(docs: DataFrame, window: int, m: int, share: float) -> list[bytes]:
+    """Strings for the packer's dictionary, from at most PACK_DOCS documents of at most PACK_CHARS bytes."""
+    rows = docs.sample(share, seed=19).where(F.length("text").between(1, PACK_CHARS)).select("text").limit(PACK_DOCS).collect()
+    return [p for r in rows for *_, p in super_k_mers(bytes(r["text"]), np.zeros(0, np.uint64), window, m)]
+
+
 def repeated_runs(docs: DataFrame, window: int = WINDOW, m: int = MINIMISER, share: float = SAMPLE, common_least: int = COMMON) -> DataFrame:
     """(uid, start, n): runs of windows that occur more than once; docs: (uid, text binary).
 
@@ -145,6 +178,7 @@ def repeated_runs(docs: DataFrame, window: int = WINDOW, m: int = MINIMISER, sha
     goes through the same buckets.
     """
     common = common_m_mers(docs, window, m, share, common_least)
+    packer = Packer(pack_samples(docs, window, m, share))
 
     def cut(t: pa.Table) -> Iterator[pa.Table]:
         uid, pos, mini, packed = [], [], [], []
@@ -153,7 +187,7 @@ def repeated_runs(docs: DataFrame, window: int = WINDOW, m: int = MINIMISER, sha
                 uid.append(u)
                 pos.append(start << 8 | n)
                 mini.append(v)
-                packed.append(p)
+                packed.append(packer.pack(p))
         kinds = zip(("uid", "pos", "mini", "packed"), (uid, pos, mini, packed), (pa.binary(), pa.int64(), pa.int64(), pa.binary()))
         yield pa.table({k: pa.array(v, kind) for k, v, kind in kinds})
 
@@ -172,7 +206,7 @@ def repeated_runs(docs: DataFrame, window: int = WINDOW, m: int = MINIMISER, sha
             if mini in hot:
                 out += [(u, p >> 8, p & 255, mini, x) for u, p, x in rows]
             elif len(rows) > 1:
-                found = repeated([(x, 1) for _, _, x in rows], window)
+                found = repeated([(x, 1) for _, _, x in rows], packer.unpack, window)
                 out += [(u, (p >> 8) + a, n, None, None) for u, p, x in rows for a, n in found.get(x, ())]
             if len(out) > 4096:
                 yield _batch(out)
@@ -188,7 +222,7 @@ def repeated_runs(docs: DataFrame, window: int = WINDOW, m: int = MINIMISER, sha
 
     def weigh(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for _, rows in by_minimiser(batches):
-            flat = [(x, a, n) for x, own in repeated(rows, window).items() for a, n in own]
+            flat = [(x, a, n) for x, own in repeated(rows, packer.unpack, window).items() for a, n in own]
             if flat:
                 x, a, n = zip(*flat)
                 yield pa.RecordBatch.from_arrays([pa.array(x, pa.binary()), pa.array(a, pa.int64()), pa.array(n, pa.int64())], ["packed", "first", "many"])
