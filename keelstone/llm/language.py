@@ -26,6 +26,8 @@ BUCKETS = 1 << 15
 LEXICON = 200
 #: A task forgets the words it has met beyond this number.
 KNOWN = 300_000
+#: Words that take their steps together, about.
+TOGETHER = 400_000
 UNKNOWN = "und"
 #: The pipeline's stage rejects documents below this score.
 MIN_SCORE = 0.5
@@ -62,12 +64,12 @@ class Field:
 
     def emission(self, words: list[str]) -> np.ndarray:
         """(words, labels): each word's factor for each label, the largest 1."""
-        lists = [self.rows(w) for w in words]
-        if not lists:
-            return np.zeros((0, len(self.labels)))
-        flat = self.weights[np.concatenate(lists)]
-        s = np.add.reduceat(flat, np.cumsum([0, *map(len, lists)])[:-1], axis=0)
-        return np.maximum(np.exp(s - s.max(axis=1, keepdims=True)), 1e-12)
+        out = np.zeros((len(words), len(self.labels)))
+        for at in range(0, len(words), 4096):
+            lists = [self.rows(w) for w in words[at : at + 4096]]
+            s = np.add.reduceat(self.weights[np.concatenate(lists)], np.cumsum([0, *map(len, lists)])[:-1], axis=0)
+            out[at : at + 4096] = np.maximum(np.exp(s - s.max(axis=1, keepdims=True)), 1e-12)
+        return out
 
 
 def marginals(emission: np.ndarray, types: np.ndarray, lengths: np.ndarray, steps: np.ndarray, each: bool = False) -> tuple[np.ndarray, np.ndarray | None, np.ndarray]:
@@ -220,7 +222,7 @@ def _verdicts(docs: DataFrame, field: Field, columns: list[str], text_col: str)
             known.clear()
             state["emission"] = state["emission"][:0]
         lists, new = [], []
-        for raw in t["text"].to_pylist() if model.labels else []:
+        for raw in t[text].cast(pa.binary()).to_pylist() if model.labels else []:
             mine = []
             for w in words_of((raw or b"").decode("utf-8", "replace")):
                 k = known.get(w)
@@ -235,16 +237,23 @@ def _verdicts(docs: DataFrame, field: Field, columns: list[str], text_col: str)
         if new:
             state["emission"] = np.concatenate([state["emission"], model.emission(new)])
         pred, score = [UNKNOWN] * t.num_rows, np.zeros(t.num_rows)
-        some = [i for i, x in enumerate(lists) if x]
-        if some:
-            lengths = np.array([len(lists[i]) for i in some])
-            total, _, _ = marginals(state["emission"], np.concatenate([np.array(lists[i], np.int64) for i in some]), lengths, model.steps)
-            mean = total / lengths[:, None]
-            for i, m in zip(some, mean):
+        # The longest first, so that texts of like length take their steps together.
+        some = sorted((i for i, x in enumerate(lists) if x), key=lambda i: -len(lists[i]))
+        while some:
+            n, size = 0, 0
+            while n < len(some) and (not n or size + len(lists[some[n]]) <= TOGETHER):
+                size += len(lists[some[n]])
+                n += 1
+            part, some = some[:n], some[n:]
+            lengths = np.array([len(lists[i]) for i in part])
+            total, _, _ = marginals(state["emission"], np.concatenate([np.array(lists[i], np.int64) for i in part]), lengths, model.steps)
+            for i, m in zip(part, total / lengths[:, None]):
                 pred[i], score[i] = model.labels[int(m.argmax())], min(1.0, float(m.max()))
         return pa.table({f"c{k}": t[f"c{k}"] for k in range(len(columns))} | {"lang_pred": pa.array(pred, pa.string()), "score": pa.array(score)})
 
-    rows = docs.select(*[F.col(c).alias(f"c{k}") for k, c in enumerate(columns)], utf8(text_col).alias("text"))
+    # The text travels once, also where it is one of the columns.
+    text = f"c{columns.index(text_col)}" if text_col in columns else "text"
+    rows = docs.select(*[F.col(c).alias(f"c{k}") for k, c in enumerate(columns)], *([] if text_col in columns else [utf8(text_col).alias("text")]))
     schema = ", ".join([*(f"c{k} {types[c]}" for k, c in enumerate(columns)), "lang_pred string", "score double"])
     return map_batches(rows, run, schema, 4096)
 
