@@ -25,6 +25,10 @@ NEAREST = 20
 EVERY = 20
 #: Rows of a leaf that one task holds at a time.
 BLOCK = 8_192
+#: Found pairs that a task holds before it cuts them down.
+HELD = 500_000
+#: Candidates kept beyond k + 1, so that ties in the last bits fall to the smaller id.
+SLACK = 3
 
 
 class Forest:
@@ -111,6 +115,21 @@ def matrix(column: pa.ChunkedArray) -> np.ndarray:
     return flat.flatten().to_numpy(zero_copy_only=False).reshape(len(flat), -1)
 
 
+def best_of(query: np.ndarray, vid: np.ndarray, score: np.ndarray, keep: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Each query's ``keep`` highest candidates, each once."""
+    order = np.lexsort((-score, vid, query))
+    query, vid, score = query[order], vid[order], score[order]
+    once = np.ones(len(query), bool)
+    once[1:] = (query[1:] != query[:-1]) | (vid[1:] != vid[:-1])
+    query, vid, score = query[once], vid[once], score[once]
+    order = np.lexsort((vid, -score, query))
+    query, vid, score = query[order], vid[order], score[order]
+    at = np.arange(len(query))
+    first = np.maximum.accumulate(np.where(np.append(True, query[1:] != query[:-1]), at, 0))
+    top = at - first < keep
+    return query[top], vid[top], score[top]
+
+
 def cell_rows(cells: np.ndarray, vid: np.ndarray, x: np.ndarray, asks: int) -> pa.RecordBatch:
     lists = pa.ListArray.from_arrays(pa.array(np.arange(len(x) + 1) * x.shape[1], pa.int32()), pa.array(x.ravel()))
     return pa.RecordBatch.from_arrays([pa.array(cells), pa.array(vid), lists, pa.array(np.full(len(x), asks, np.int32))], ["cell", "vid", "v", "asks"])
@@ -185,19 +204,28 @@ def nearest(
 
     def rank(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """Rows come by cell, the queries first; each block of a cell's rows meets them."""
-        held, cell, block = [], None, []
+        held, cell, block, found = [], None, [], []
 
-        def meet() -> Iterator[pa.RecordBatch]:
+        def meet() -> None:
             if held and block:
                 qv, qx = np.concatenate([h[0] for h in held]), np.concatenate([h[1] for h in held])
                 cv, cx = np.concatenate([c[0] for c in block]), np.concatenate([c[1] for c in block])
                 for at in range(0, len(qx), 512):
                     s = qx[at : at + 512] @ cx.T
                     m = min(k + 1, s.shape[1])
-                    top = np.argpartition(-s, m - 1, axis=1)[:, :m]
-                    edge = np.take_along_axis(s, top, axis=1).min(axis=1)
+                    edge = -np.partition(-s, m - 1, axis=1)[:, m - 1]
                     i, j = np.nonzero(s >= edge[:, None])
-                    yield pa.RecordBatch.from_arrays([pa.array(qv[at : at + 512][i]), pa.array(cv[j]), pa.array(s[i, j])], ["query", "vid", "score"])
+                    found.append((qv[at : at + 512][i], cv[j], s[i, j]))
+
+        def merged(final: bool = False) -> Iterator[pa.RecordBatch]:
+            """What the task's cells have found so far goes down to each query's best; out of hand, or at the end, it leaves."""
+            if found and (final or sum(len(f[0]) for f in found) > HELD):
+                best = best_of(*(np.concatenate(c) for c in zip(*found)), k + 1 + SLACK)
+                found.clear()
+                if final or len(best[0]) > HELD // 2:
+                    yield pa.RecordBatch.from_arrays([pa.array(c) for c in best], ["query", "vid", "score"])
+                else:
+                    found.append(best)
 
         for b in batches:
             if not b.num_rows:
@@ -207,16 +235,18 @@ def nearest(
             cuts = np.flatnonzero((cells[1:] != cells[:-1]) | (asks[1:] != asks[:-1])) + 1
             for a, e in zip([0, *cuts], [*cuts, len(cells)]):
                 if cells[a] != cell:
-                    yield from meet()
+                    meet()
                     held, cell, block = [], cells[a], []
                 if asks[a]:
                     held.append((vid[a:e], x[a:e]))
                 else:
                     block.append((vid[a:e], x[a:e]))
                     if sum(len(c[0]) for c in block) >= BLOCK:
-                        yield from meet()
+                        meet()
                         block = []
-        yield from meet()
+            yield from merged()
+        meet()
+        yield from merged(final=True)
 
     scored = filed.repartition("cell").sortWithinPartitions(F.col("cell"), F.desc("asks")).mapInArrow(rank, "query long, vid long, score double")
     # Scores of one pair agree but for the last bits of the sums, whichever leaf they come from.
@@ -226,10 +256,6 @@ def nearest(
     return _expand(found, kept, asked, k).select(F.col("query_id").cast(kind).alias("query_id"), "rank", F.col("vec_id").cast(kind).alias("vec_id"), "score")
 
 
-#: Candidates kept beyond k + 1, so that ties in the last bits fall to the smaller id.
-SLACK = 3
-
-
 def _expand(found: DataFrame, kept: DataFrame, asked: DataFrame, k: int) -> DataFrame:
     """From vectors to ids: exact scores in component order, ties to the smaller id."""
     q = kept.select(F.col("vid").alias("query"), F.col("v").alias("qv"))
