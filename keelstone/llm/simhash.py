@@ -13,6 +13,7 @@ from xxhash import xxh64_intdigest
 
 from keelstone.llm.common import as_table, documents, map_batches, utf8
 from keelstone.llm.components import components
+from keelstone.llm.jaccard import least_rows, text_key
 
 RADIUS = 3
 #: A group of more fingerprints than this is dealt out as several shard trees.
@@ -228,12 +229,14 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """docs without near-duplicates: of each component the row of least id stays.
 
-    Of several rows with one id, one stays. Rows with a null id cannot be told
-    apart and all stay.
+    Rows are judged by their texts: of rows with one id, those stay whose texts
+    are in components without a smaller id. Rows with a null id all stay here;
+    the pipeline's ``jaccard.keep_one`` judges these by their texts too.
     """
-    gone = near_duplicates(docs, id_col, text_col).where(F.col(id_col) != F.col("component_id")).select(id_col).distinct()
-    kept = docs.join(gone, id_col, "left_anti")
-    return kept.withColumn("_nulls", F.when(F.col(id_col).isNull(), F.monotonically_increasing_id())).dropDuplicates([id_col, "_nulls"]).select(*docs.columns)
+    known = docs.where(F.col(id_col).isNotNull())
+    texts = known.select(text_key(F.col(text_col)).alias("node"), F.col(text_col).alias("text"))
+    roots = near_duplicates(texts, "node", "text").select("node", F.col("component_id").alias("root")).distinct()
+    return least_rows(known, roots, id_col, text_col).unionByName(docs.where(F.col(id_col).isNull()))
 
 
 def op8_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
