@@ -27,8 +27,10 @@ EVERY = 20
 BLOCK = 8_192
 #: Found pairs that a task holds before it cuts them down.
 HELD = 500_000
-#: Candidates kept beyond k + 1, so that ties in the last bits fall to the smaller id.
+#: Candidates kept beyond k + 1, for queries whose id has several vectors.
 SLACK = 3
+#: Pairs that are scored exactly at a time.
+PAIRS = 500_000
 
 
 class Forest:
@@ -115,24 +117,43 @@ def matrix(column: pa.ChunkedArray) -> np.ndarray:
     return flat.flatten().to_numpy(zero_copy_only=False).reshape(len(flat), -1)
 
 
-def best_of(query: np.ndarray, vid: np.ndarray, score: np.ndarray, keep: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Each query's ``keep`` highest candidates, each once."""
-    order = np.lexsort((-score, vid, query))
-    query, vid, score = query[order], vid[order], score[order]
+def best_of(query: np.ndarray, vid: np.ndarray, least: np.ndarray, score: np.ndarray, keep: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Each query's ``keep`` highest candidates, each once; ties go to the least id."""
+    order = np.lexsort((vid, least, -score, query))
+    query, vid, least, score = query[order], vid[order], least[order], score[order]
+    # A candidate has one exact score, so that its repeats are neighbours.
     once = np.ones(len(query), bool)
     once[1:] = (query[1:] != query[:-1]) | (vid[1:] != vid[:-1])
-    query, vid, score = query[once], vid[once], score[once]
-    order = np.lexsort((vid, -score, query))
-    query, vid, score = query[order], vid[order], score[order]
+    query, vid, least, score = query[once], vid[once], least[once], score[once]
     at = np.arange(len(query))
     first = np.maximum.accumulate(np.where(np.append(True, query[1:] != query[:-1]), at, 0))
     top = at - first < keep
-    return query[top], vid[top], score[top]
+    return query[top], vid[top], least[top], score[top]
 
 
-def cell_rows(cells: np.ndarray, vid: np.ndarray, x: np.ndarray, asks: int) -> pa.RecordBatch:
+def highest(q: np.ndarray, c: np.ndarray, keep: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(row of q, row of c, score) of every pair that can be among the row's ``keep`` highest, ties included.
+
+    The product of the matrices decides within the bounds of its rounding; the
+    scores are then summed in component order, as ``_expand`` does, so that
+    equal scores are equal to the last bit.
+    """
+    s = q @ c.T
+    m = min(keep, s.shape[1])
+    edge = -np.partition(-s, m - 1, axis=1)[:, m - 1]
+    rounding = 4 * (q.shape[1] + 1) * np.finfo(float).eps * np.linalg.norm(q, axis=1) * np.linalg.norm(c, axis=1).max()
+    i, j = np.nonzero(~(s < (edge - rounding)[:, None]))
+    score = np.zeros(len(i))
+    for at in range(0, len(i), PAIRS):
+        part = slice(at, at + PAIRS)
+        for d in range(q.shape[1]):
+            score[part] += q[i[part], d] * c[j[part], d]
+    return i, j, score
+
+
+def cell_rows(cells: np.ndarray, vid: np.ndarray, least: np.ndarray, x: np.ndarray, asks: int) -> pa.RecordBatch:
     lists = pa.ListArray.from_arrays(pa.array(np.arange(len(x) + 1) * x.shape[1], pa.int32()), pa.array(x.ravel()))
-    return pa.RecordBatch.from_arrays([pa.array(cells), pa.array(vid), lists, pa.array(np.full(len(x), asks, np.int32))], ["cell", "vid", "v", "asks"])
+    return pa.RecordBatch.from_arrays([pa.array(cells), pa.array(vid), pa.array(least), lists, pa.array(np.full(len(x), asks, np.int32))], ["cell", "vid", "least", "v", "asks"])
 
 
 def nearest(
@@ -188,19 +209,20 @@ def nearest(
             x = matrix(t["v"])
             cells = shared.value.leaves(x.astype(np.float32)) + np.arange(trees) * (1 << depth)
             at = np.repeat(np.arange(len(x)), trees)
-            yield cell_rows(cells.ravel(), t["vid"].to_numpy()[at], x[at], 0)
+            yield cell_rows(cells.ravel(), t["vid"].to_numpy()[at], t["least"].to_numpy()[at], x[at], 0)
 
     def ask(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             t = pa.Table.from_batches([b])
-            x, vid = matrix(t["v"]), t["vid"].to_numpy()
+            x, vid, least = matrix(t["v"]), t["vid"].to_numpy(), t["least"].to_numpy()
             cells = [[tree * (1 << depth) + c for tree, c in shared.value.probes(q, want)] for q in x.astype(np.float32)]
             at = np.repeat(np.arange(len(x)), list(map(len, cells)))
-            yield cell_rows(np.concatenate(cells).astype(np.int64), vid[at], x[at], 1)
+            yield cell_rows(np.concatenate(cells).astype(np.int64), vid[at], least[at], x[at], 1)
 
-    cell_schema = "cell long, vid long, v array<double>, asks int"
-    queries = asked.select("v").distinct().join(kept.select("v", "vid"), "v").select("vid", "v")
-    filed = kept.select("vid", "v").mapInArrow(file, cell_schema).unionByName(queries.mapInArrow(ask, cell_schema))
+    cell_schema = "cell long, vid long, least long, v array<double>, asks int"
+    numbered = kept.select("vid", F.col("ids")[0].alias("least"), "v")
+    queries = asked.select("v").distinct().join(numbered, "v").select("vid", "least", "v")
+    filed = numbered.mapInArrow(file, cell_schema).unionByName(queries.mapInArrow(ask, cell_schema))
 
     def rank(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """Rows come by cell, the queries first; each block of a cell's rows meets them."""
@@ -209,13 +231,10 @@ def nearest(
         def meet() -> None:
             if held and block:
                 qv, qx = np.concatenate([h[0] for h in held]), np.concatenate([h[1] for h in held])
-                cv, cx = np.concatenate([c[0] for c in block]), np.concatenate([c[1] for c in block])
+                cv, cl, cx = (np.concatenate([c[n] for c in block]) for n in range(3))
                 for at in range(0, len(qx), 512):
-                    s = qx[at : at + 512] @ cx.T
-                    m = min(k + 1, s.shape[1])
-                    edge = -np.partition(-s, m - 1, axis=1)[:, m - 1]
-                    i, j = np.nonzero(s >= edge[:, None])
-                    found.append((qv[at : at + 512][i], cv[j], s[i, j]))
+                    i, j, score = highest(qx[at : at + 512], cx, k + 1 + SLACK)
+                    found.append(best_of(qv[at : at + 512][i], cv[j], cl[j], score, k + 1 + SLACK))
 
         def merged(final: bool = False) -> Iterator[pa.RecordBatch]:
             """What the task's cells have found so far goes down to each query's best; out of hand, or at the end, it leaves."""
@@ -223,7 +242,7 @@ def nearest(
                 best = best_of(*(np.concatenate(c) for c in zip(*found)), k + 1 + SLACK)
                 found.clear()
                 if final or len(best[0]) > HELD // 2:
-                    yield pa.RecordBatch.from_arrays([pa.array(c) for c in best], ["query", "vid", "score"])
+                    yield pa.RecordBatch.from_arrays([pa.array(c) for c in best], ["query", "vid", "least", "score"])
                 else:
                     found.append(best)
 
@@ -231,7 +250,7 @@ def nearest(
             if not b.num_rows:
                 continue
             t = pa.Table.from_batches([b])
-            cells, vid, asks, x = t["cell"].to_numpy(), t["vid"].to_numpy(), t["asks"].to_numpy(), matrix(t["v"])
+            cells, vid, least, asks, x = t["cell"].to_numpy(), t["vid"].to_numpy(), t["least"].to_numpy(), t["asks"].to_numpy(), matrix(t["v"])
             cuts = np.flatnonzero((cells[1:] != cells[:-1]) | (asks[1:] != asks[:-1])) + 1
             for a, e in zip([0, *cuts], [*cuts, len(cells)]):
                 if cells[a] != cell:
@@ -240,7 +259,7 @@ def nearest(
                 if asks[a]:
                     held.append((vid[a:e], x[a:e]))
                 else:
-                    block.append((vid[a:e], x[a:e]))
+                    block.append((vid[a:e], least[a:e], x[a:e]))
                     if sum(len(c[0]) for c in block) >= BLOCK:
                         meet()
                         block = []
@@ -248,10 +267,9 @@ def nearest(
         meet()
         yield from merged(final=True)
 
-    scored = filed.repartition("cell").sortWithinPartitions(F.col("cell"), F.desc("asks")).mapInArrow(rank, "query long, vid long, score double")
-    # Scores of one pair agree but for the last bits of the sums, whichever leaf they come from.
-    best = scored.groupBy("query", "vid").agg(F.max("score").alias("score"))
-    top = Window.partitionBy("query").orderBy(F.desc("score"), "vid")
+    scored = filed.repartition("cell").sortWithinPartitions(F.col("cell"), F.desc("asks")).mapInArrow(rank, "query long, vid long, least long, score double")
+    best = scored.groupBy("query", "vid").agg(F.max("score").alias("score"), F.min("least").alias("least"))
+    top = Window.partitionBy("query").orderBy(F.desc("score"), "least", "vid")
     found = best.withColumn("n", F.row_number().over(top)).where(F.col("n") <= k + 1 + SLACK)
     return _expand(found, kept, asked, k).select(F.col("query_id").cast(kind).alias("query_id"), "rank", F.col("vec_id").cast(kind).alias("vec_id"), "score")
 

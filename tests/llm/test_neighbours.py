@@ -68,3 +68,22 @@ def test_odd_rows(spark):
     assert neighbours.nearest(df.limit(0)).count() == 0
     few = {r["vec_id"] for r in neighbours.nearest(df.where("vec_id in (0, 1, 2)")).collect()}
     assert few == {1, 2}
+
+
+def test_large_tie_groups_go_to_the_smaller_id(spark):
+    rnd = np.random.default_rng(8)
+    for x in (rnd.choice([-1.0, 1.0], (3000, 32)), rnd.integers(1, 3, (3000, 32)) * (rnd.random((3000, 32)) < 0.2) * 0.1):
+        x[:, 0] = 1.0
+        ids = rnd.permutation(3000)
+        df = spark.createDataFrame([(int(i), v.tolist()) for i, v in zip(ids, x)], "vec_id long, embedding array<double>")
+        got = {}
+        for r in neighbours.nearest(df, every=50, share=1.0, leaf=500).collect():
+            got.setdefault(r["query_id"], []).append((r["rank"], r["vec_id"]))
+        # Scores in component order, as the operator states them.
+        for q, rows in got.items():
+            s = np.zeros(len(x))
+            for d in range(x.shape[1]):
+                s += x[ids == q][0, d] * x[:, d]
+            want = [int(ids[j]) for j in np.lexsort((ids, -s)) if ids[j] != q][:20]
+            assert [v for _, v in sorted(rows)] == want
+        assert len(got) == 60
