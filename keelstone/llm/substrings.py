@@ -10,7 +10,7 @@ from functools import cached_property
 import numpy as np
 import pyarrow as pa
 import zstandard
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from xxhash import xxh64_intdigest
 
@@ -23,8 +23,12 @@ MINIMISER = 4
 SAMPLE = 1 / 64
 #: One found this often in that share is common ...
 COMMON = 48
-#: ... if it is also more than this share of all those found: so many at most.
-MOST_COMMON = 100_000
+#: ... if it is also more than this share of all those found: so many at most,
+#: eight bytes each.
+MOST_COMMON = 2_000_000
+#: Strings, and their packed bytes, of one minimiser that a task holds; more of
+#: them are summed up by string, and beyond that counted window by window.
+HELD_ROWS, HELD_BYTES = 8_192, 4 << 20
 #: Bounds of the documents that the packer's dictionary is made from.
 PACK_DOCS, PACK_CHARS = 200, 20_000
 
@@ -40,6 +44,11 @@ def m_mers(words: list[bytes], m: int = MINIMISER) -> np.ndarray:
     return grams ^ grams >> np.uint64(32)
 
 
+def listed(grams: np.ndarray, common: np.ndarray) -> np.ndarray:
+    """Which of the numbers are in the sorted list."""
+    return common[np.minimum(np.searchsorted(common, grams), len(common) - 1)] == grams if common.size else np.zeros(len(grams), bool)
+
+
 def minimisers(words: list[bytes], common: np.ndarray, window: int = WINDOW, m: int = MINIMISER) -> tuple[np.ndarray, np.ndarray]:
     """(position, value) of each window's minimiser: its least m-mer, the leftmost of equals.
 
@@ -50,7 +59,7 @@ def minimisers(words: list[bytes], common: np.ndarray, window: int = WINDOW, m:
     grams = m_mers(words, m)
     order = grams >> np.uint64(1)
     if common.size:
-        order = order | np.isin(grams, common).astype(np.uint64) << np.uint64(63)
+        order = order | listed(grams, common).astype(np.uint64) << np.uint64(63)
     views = np.lib.stride_tricks.sliding_window_view(order, window - m + 1)
     at = np.concatenate([views[i : i + 8192].argmin(axis=1) + i for i in range(0, len(views), 8192)]) + np.concatenate([np.arange(min(8192, len(views) - i)) for i in range(0, len(views), 8192)])
     return at, grams[at]
@@ -127,20 +136,40 @@ def repeated(rows: list[tuple[bytes, int]], unpack: Callable[[bytes], bytes], wi
     return out
 
 
-def by_minimiser(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, list[tuple]]]:
-    """Rows under equal minimisers, which come sorted in the column ``mini``; single rows too."""
-    last, kept = None, []
+def by_minimiser(batches: Iterator[pa.RecordBatch], held_rows: int, held_bytes: int) -> Iterator[tuple[int, bool, list[tuple]]]:
+    """(minimiser, whole, rows) of rows that come sorted by ``mini``; each row: the other columns.
+
+    A lone row that stands once can't repeat and is passed over, unless it is
+    common: others of its kind went elsewhere. A minimiser
+    whose rows outgrow the two bounds, or that is common (``salt``
+    above 0), comes in several lists, ``whole`` false.
+    """
+    last, kept, size, split = None, [], 0, False
     for batch in batches:
-        cols = batch.to_pydict()
-        names = [c for c in cols if c != "mini"]
-        for mini, *row in zip(cols["mini"], *(cols[c] for c in names)):
-            if mini != last:
+        if not batch.num_rows:
+            continue
+        mini, times = (batch.column(batch.schema.get_field_index(c)).to_numpy() for c in ("mini", "times"))
+        starts = np.flatnonzero(np.append(True, mini[1:] != mini[:-1]))
+        many = np.diff(np.append(starts, len(mini)))
+        lone = (many == 1) & (times[starts] == 1)
+        if "salt" in batch.schema.names:
+            lone &= batch.column(batch.schema.get_field_index("salt")).to_numpy()[starts] == 0
+        lone[-1] = False
+        lone[0] &= mini[0] != last
+        cols = batch.filter(pa.array(np.repeat(~lone, many))).to_pydict()
+        salt = cols.pop("salt", None) or [0] * len(cols["mini"])
+        for m, common, *row in zip(cols.pop("mini"), salt, *cols.values()):
+            if m != last:
                 if kept:
-                    yield last, kept
-                last, kept = mini, []
+                    yield last, not split, kept
+                last, kept, size, split = m, [], 0, common > 0
             kept.append(tuple(row))
+            size += len(row[-1])
+            if len(kept) >= held_rows or size >= held_bytes:
+                yield last, False, kept
+                kept, size, split = [], 0, True
     if kept:
-        yield last, kept
+        yield last, not split, kept
 
 
 def common_m_mers(docs: DataFrame, window: int, m: int, share: float = SAMPLE, least: int = COMMON) -> np.ndarray:
@@ -168,74 +197,133 @@ def pack_samples(docs: DataFrame, window: int, m: int, share: float) -> list[byt
     return [p for r in rows for *_, p in super_k_mers(bytes(r["text"]), np.zeros(0, np.uint64), window, m)]
 
 
+RUNS = "array<struct<start: bigint, n: bigint>>"
+
+
 def repeated_runs(docs: DataFrame, window: int = WINDOW, m: int = MINIMISER, share: float = SAMPLE, common_least: int = COMMON) -> DataFrame:
-    """(uid, start, n): runs of windows that occur more than once; docs: (uid, text binary).
+    """(uid, runs array of (start, n)): windows that occur more than once; docs: (uid, text binary).
 
     Windows that share a minimiser travel as one packed string to its bucket,
-    where rows are sorted by minimiser and equal windows are counted as whole
-    word sequences. Strings of common minimisers are spread by document and
-    summed up by string first; what is left, each string once with its count,
-    goes through the same buckets.
+    where rows are sorted and equal windows are counted as whole word
+    sequences. Copies of a text within a batch travel once with their number.
+    Strings of common minimisers are dealt out by string and place, and meet in
+    two steps: a string found twice is repeated as a whole, its places leave at
+    once, and only the string with its count goes on to the minimiser's bucket;
+    one found once goes there with its place. Minimisers that outgrow a task's
+    bounds go the same way, and what outgrows them in the second step is
+    counted window by window in an aggregation that can spill.
     """
     common = common_m_mers(docs, window, m, share, common_least)
     packer = Packer(pack_samples(docs, window, m, share))
+    held = HELD_ROWS, HELD_BYTES
 
     def cut(t: pa.Table) -> Iterator[pa.Table]:
-        uid, pos, mini, packed = [], [], [], []
+        texts: dict[bytes, list] = {}
         for u, x in zip(t["uid"].to_pylist(), t["text"].to_pylist()):
-            for start, n, v, p in super_k_mers(x or b"", common, window, m):
-                uid.append(u)
-                pos.append(start << 8 | n)
-                mini.append(v)
-                packed.append(packer.pack(p))
-        kinds = zip(("uid", "pos", "mini", "packed"), (uid, pos, mini, packed), (pa.binary(), pa.int64(), pa.int64(), pa.binary()))
-        yield pa.table({k: pa.array(v, kind) for k, v, kind in kinds})
-
-    cuts = map_batches(docs, cut, "uid binary, pos long, mini long, packed binary", 512)
-    by = ["mini"]
-    if common.size:
-        listed = docs.sparkSession.createDataFrame([(int(x),) for x in common.view(np.int64)], "mini long").withColumn("hot", F.lit(True))
-        cuts = cuts.join(F.broadcast(listed), "mini", "left")  # at most MOST_COMMON numbers
-        by.append(F.when(F.col("hot"), F.pmod(F.xxhash64("uid", "pos"), F.lit(1024))).otherwise(0))
-    ordered = cuts.repartition(*by).sortWithinPartitions("mini").select("mini", "uid", "pos", "packed")
-    hot = set(common.view(np.int64).tolist())
+            texts.setdefault(u, [0, x])[0] += 1
+        rows = [(u, n, *s) for u, (n, x) in texts.items() for s in super_k_mers(x or b"", common, window, m)]
+        uid, times, start, many, mini, strings = list(zip(*rows)) or [()] * 6
+        mini = np.array(mini, np.int64)
+        hot = listed(mini.view(np.uint64), common)
+        # The batch takes part in the place, so that copies in many batches are dealt out too.
+        batch = xxh64_intdigest(t["uid"][0].as_py()) >> 32 if t.num_rows else 0
+        salt = [1 + xxh64_intdigest(x) % 32 * 32 + xxh64_intdigest(u, batch + a) % 32 if h else 0 for u, a, x, h in zip(uid, start, strings, hot.tolist())]
+        packed = [packer.pack(x) for x in strings]
+        yield pa.table({
+            "mini": mini, "salt": pa.array(salt, pa.int32()), "uid": pa.array(uid, pa.binary()), "start": pa.array(start, pa.int64()),
+            "many": pa.array(many, pa.int32()), "times": pa.array(times, pa.int64()), "packed": pa.array(packed, pa.binary()),
+        })
+
+    cuts = map_batches(docs, cut, "mini long, salt int, uid binary, start long, many int, times long, packed binary", 1024)
+    ordered = cuts.repartition("mini", "salt").sortWithinPartitions("mini", "packed")
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         out: list[tuple] = []
-        for mini, rows in by_minimiser(batches):
-            if mini in hot:
-                out += [(u, p >> 8, p & 255, mini, x) for u, p, x in rows]
-            elif len(rows) > 1:
-                found = repeated([(x, 1) for _, _, x in rows], packer.unpack, window)
-                out += [(u, (p >> 8) + a, n, None, None) for u, p, x in rows for a, n in found.get(x, ())]
+        string, total, first = (None, None), 0, None
+        for mini, whole, rows in by_minimiser(batches, *held):
+            if whole:
+                found = repeated([(x, n) for *_, n, x in rows], packer.unpack, window)
+                out += [(None, u, None, None, None, _runs(found[x], a)) for u, a, _, _, x in rows if x in found]
+            else:
+                for u, a, many, n, x in rows:
+                    if (mini, x) != string:
+                        if total:
+                            out.append((string[0], *(first[:2] if first else (None, None)), total, string[1], None))
+                        string, total, first = (mini, x), 0, None
+                    total += n
+                    if total == 1:
+                        first = (u, a, many)
+                        continue
+                    if first:
+                        out.append((None, first[0], None, None, None, _runs([(0, first[2])], first[1])))
+                        first = None
+                    out.append((None, u, None, None, None, _runs([(0, many)], a)))
             if len(out) > 4096:
                 yield _batch(out)
                 out = []
+        if total:
+            out.append((string[0], *(first[:2] if first else (None, None)), total, string[1], None))
         yield _batch(out)
 
-    met = as_table(ordered.mapInArrow(count, "uid binary, start long, n long, mini long, packed binary"), "repeats")
-    runs = met.where("mini IS NULL").select("uid", "start", "n")
-    if not common.size:
-        return runs
-    wide = met.where("mini IS NOT NULL")
-    once = wide.groupBy("mini", "packed").agg(F.count("*").alias("times")).repartition("mini").sortWithinPartitions("mini").select("mini", "packed", "times")
+    schema = f"mini long, uid binary, start long, times long, packed binary, runs {RUNS}"
+    met = as_table(ordered.mapInArrow(count, schema), "repeats")
+    again = met.where("mini IS NOT NULL").repartition("mini").sortWithinPartitions("mini").select("mini", "uid", "start", "times", "packed")
 
     def weigh(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for _, rows in by_minimiser(batches):
-            flat = [(x, a, n) for x, own in repeated(rows, packer.unpack, window).items() for a, n in own]
-            if flat:
-                x, a, n = zip(*flat)
-                yield pa.RecordBatch.from_arrays([pa.array(x, pa.binary()), pa.array(a, pa.int64()), pa.array(n, pa.int64())], ["packed", "first", "many"])
+        out: list[tuple] = []
+        for mini, whole, rows in by_minimiser(batches, *held):
+            if whole:
+                found = repeated([(x, n) for *_, n, x in rows], packer.unpack, window)
+                out += [(None, u, None, None, None, _runs(found[x], a)) for u, a, _, x in rows if u and x in found]
+            else:
+                out += [(mini, u, a, n, x, None) for u, a, n, x in rows]
+            if len(out) > 4096:
+                yield _batch(out)
+                out = []
+        yield _batch(out)
+
+    weighed = as_table(again.mapInArrow(weigh, schema), "weighed")
+    runs = met.where("mini IS NULL").select("uid", "runs").unionByName(weighed.where("mini IS NULL").select("uid", "runs")).distinct()
+    over = weighed.where("mini IS NOT NULL")
+    if over.isEmpty():
+        return runs
+    found = _by_window(over.groupBy("packed").agg(F.sum("times").alias("times")), packer, window)
+    places = over.where("uid IS NOT NULL").select("uid", "start", _key("packed")).distinct()
+    shift = F.transform("runs", lambda r: F.struct((F.col("start") + r["start"]).alias("start"), r["n"].alias("n")))
+    return runs.unionByName(places.join(found, "pid").select("uid", shift.alias("runs")))
+
+
+def _runs(runs: list[tuple[int, int]], at: int) -> list[dict]:
+    return [{"start": at + a, "n": n} for a, n in runs]
+
+
+def _key(column: str) -> Column:
+    return F.unhex(F.md5(column)).alias("pid")
+
+
+def _by_window(strings: DataFrame, packer: Packer, window: int) -> DataFrame:
+    """(pid, runs) of strings(packed, times), each string once: windows by a 128-bit digest are counted in one aggregation."""
+
+    def cut(t: pa.Table) -> Iterator[pa.Table]:
+        pid, at, times, digest = [], [], [], []
+        for x, n in zip(t["packed"].to_pylist(), t["times"].to_pylist()):
+            ws = windows(packer.unpack(x), window)
+            pid += [hashlib.md5(x).digest()] * len(ws)
+            at += range(len(ws))
+            times += [n] * len(ws)
+            digest += [hashlib.md5(w).digest() for w in ws]
+        yield pa.table({"pid": pa.array(pid, pa.binary()), "at": pa.array(at, pa.int64()), "times": pa.array(times, pa.int64()), "digest": pa.array(digest, pa.binary())})
 
-    found = once.mapInArrow(weigh, "packed binary, first long, many long")
-    placed = wide.select("uid", "start", "packed").distinct().join(found, "packed").select("uid", (F.col("start") + F.col("first")).alias("start"), F.col("many").alias("n"))
-    return runs.unionByName(placed)
+    each = map_batches(strings.select("packed", "times"), cut, "pid binary, at long, times long, digest binary", 256)
+    often = each.groupBy("digest").agg(F.sum("times").alias("all")).where(F.col("all") > 1).select("digest")
+    hit = each.join(often, "digest", "left_semi").groupBy("pid").agg(F.sort_array(F.collect_list("at")).alias("ats"))
+    return hit.select("pid", F.transform("ats", lambda a: F.struct(a.alias("start"), F.lit(1).cast("long").alias("n"))).alias("runs"))
 
 
 def _batch(rows: list[tuple]) -> pa.RecordBatch:
-    cols = list(zip(*rows)) or [[]] * 5
-    kinds = (pa.binary(), pa.int64(), pa.int64(), pa.int64(), pa.binary())
-    return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds)], ["uid", "start", "n", "mini", "packed"])
+    cols = list(zip(*rows)) or [[]] * 6
+    kinds = (pa.int64(), pa.binary(), pa.int64(), pa.int64(), pa.binary(), pa.list_(pa.struct([("start", pa.int64()), ("n", pa.int64())])))
+    return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds)], ["mini", "uid", "start", "times", "packed", "runs"])
 
 
 def remove_repeats(
@@ -250,14 +338,14 @@ def remove_repeats(
 
     What is removed from a text depends on the text and the corpus alone, so
     rows are known by a digest of their text: equal texts share their windows'
-    fate and repeated rows count as often as they stand. A null text has no
-    words; null ids are carried along; an empty table gives an empty result;
+    fate and repeated rows count as often as they stand. A text of any length
+    is cut as a whole, in the task that holds it. A null text has no words; null ids are carried along; an empty table gives an empty result;
     columns besides the two named are ignored.
     """
     kind = docs.schema[id_col].dataType.simpleString()
     rows = docs.select(F.col(id_col).alias("id"), utf8(text_col).alias("text")).withColumn("uid", F.unhex(F.md5(F.coalesce("text", F.lit(b"")))))
     runs = repeated_runs(rows.select("uid", "text"), window, m, share, common_least)
-    lists = as_table(runs.distinct().groupBy("uid").agg(F.collect_list(F.struct("start", "n")).alias("runs")), "runs")
+    lists = as_table(runs.groupBy("uid").agg(F.flatten(F.collect_list("runs")).alias("runs")), "runs")
 
     def cut(t: pa.Table) -> pa.Table:
         out = []

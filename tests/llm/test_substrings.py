@@ -1,4 +1,5 @@
 import hashlib
+import random
 from collections import Counter
 
 import pyarrow.parquet as pq
@@ -39,8 +40,9 @@ ODD = [
 ] + [(100 + i, f"l{i} m{i} " + PASSAGE + f" r{i} s{i}") for i in range(40)]
 
 
-@pytest.mark.parametrize("common_least", [5, 10**9])
-def test_odd_rows(spark, common_least):
+@pytest.mark.parametrize("common_least, held", [(5, 8192), (10**9, 8192), (5, 3), (10**9, 3)])
+def test_odd_rows(spark, monkeypatch, common_least, held):
+    monkeypatch.setattr(substrings, "HELD_ROWS", held)
     df = spark.createDataFrame([(*r, 0, "k") for r in ODD], "doc_id long, text string, start long, uid string")
     out = substrings.remove_repeats(df, with_text=True, share=1.0, common_least=common_least)
     assert got(out) == brute(ODD)
@@ -48,6 +50,22 @@ def test_odd_rows(spark, common_least):
     assert got(substrings.remove_repeats(df.limit(0))) == []
 
 
+@pytest.mark.parametrize("held", [8192, 40])
+def test_a_passage_in_a_third_and_many_copies(spark, monkeypatch, held):
+    """Copies, near copies and one passage, through all the ways that windows are counted."""
+    monkeypatch.setattr(substrings, "HELD_ROWS", held)
+    rnd = random.Random(4)
+    text = lambda n: " ".join(rnd.choice(["alpha", "beta", "gamma", "delta", "eps"]) + str(rnd.randrange(400)) for _ in range(n))
+    copied, near = text(90), text(120).split()
+    rows = [(i, copied) for i in range(300)]
+    rows += [(1000 + i, " ".join(near[: i % 60 + 1] + [f"n{i}"] + near[i % 60 + 1 :])) for i in range(300)]
+    rows += [(2000 + i, text(rnd.randrange(20)) + " " + PASSAGE + " " + text(rnd.randrange(60))) for i in range(300)]
+    rows += [(3000 + i, text(50)) for i in range(30)] + [(None, None)] * 40
+    rnd.shuffle(rows)
+    out = substrings.remove_repeats(spark.createDataFrame(rows, "doc_id long, text string").repartition(6), share=1.0, common_least=30)
+    assert got(out) == brute(rows)
+
+
 def test_windows_of_equal_words_share_a_minimiser():
     import numpy as np
 
