@@ -11,8 +11,8 @@ from keelstone.llm.common import SPACES, as_table, documents, word_list
 WEIGHTS = (1, 2, 3)
 #: A source gives at most this many times its own size.
 MAX_EPOCHS = 3
-#: Documents that one task orders at a time, about.
-SLICE = 50_000
+#: Bands of keys: so many to each step of the key's logarithm, and each again in so many.
+BANDS, FINER = 64, 4096
 #: A document's quality weight is never below this.
 MIN_QUALITY = 0.05
 
@@ -66,7 +66,6 @@ def mix(
     source_col: str = "source",
     weights: tuple[int, ...] = WEIGHTS,
     weight_of: Column | None = None,
-    slice_rows: int = SLICE,
 ) -> DataFrame:
     """One row per document: id, size, source_size, target, taken.
 
@@ -78,58 +77,95 @@ def mix(
 
     Null texts have size 0 and are never short of their target; null sources
     are one source, the last; null ids and repeated rows are documents like
-    others; an empty table gives an empty result. Other columns are ignored.
-    A large source is not ordered in one task: keys fall into slices, whose
-    sums are prefix-summed, and each slice orders its own documents.
+    others; texts of any length are read as a whole; an empty table gives an
+    empty result. Other columns are ignored. No source is ordered or moved:
+    see ``cutoffs``.
     """
-    chosen = turns(docs, id_col, text_col, source_col, weights, weight_of, slice_rows)
-    return chosen.select(F.col("id").alias(id_col), "size", "source_size", "target", (F.col("size") * F.col("times")).alias("taken"))
+    rows = as_table(keyed(docs, id_col, text_col, source_col, weight_of), "keys")
+    out = drawn(rows, cutoffs(rows, weights), ["id"])
+    return out.select(F.col("id").alias(id_col), "size", "source_size", "target", (F.col("size") * F.col("times")).alias("taken"))
 
 
 def words_in(text_col: str) -> Column:
     return F.size(word_list(F.col(text_col).cast("string"))).cast("long")
 
 
-def turns(docs: DataFrame, id_col: str, text_col: str, source_col: str, weights: tuple[int, ...] = WEIGHTS, weight_of: Column | None = None, slice_rows: int = SLICE) -> DataFrame:
-    """id, source, size, source_size, target and times (how often the mix takes the document)."""
-    narrow = docs.select(F.col(id_col).alias("id"), F.col(source_col).alias("source"), words_in(text_col).alias("size"), (weight_of if weight_of is not None else quality(F.col(text_col).cast("string"))).alias("w"))
-    keyed = as_table(narrow.withColumn("key", -F.log(uniform(F.col("id"), F.col("size"))) / F.col("w")), "keys")
-    whole = keyed.groupBy("source").agg(F.sum("size").alias("source_size"), F.count("*").alias("n"))
-    plan = targets(whole.select("source", "source_size"), weights).withColumnRenamed("source", "s1")
-    plan = plan.join(whole.select(F.col("source").alias("s2"), "n"), F.col("s1").eqNullSafe(F.col("s2"))).select(
-        "s1", "source_size", "target",
-        F.floor(F.col("target") / F.greatest(F.col("source_size"), F.lit(1))).alias("epochs"),
-        F.ceil(F.col("n") / slice_rows).alias("slices"),
-    )
-    plan = as_table(plan.withColumn("rest", F.col("target") - F.col("epochs") * F.col("source_size")), "targets")
-    # Slices by the share of keys below, 1 - exp(-key): ascending with the key.
-    part = F.least(F.col("slices") - 1, F.floor((1 - F.exp(-F.col("key"))) * F.col("slices")))
-    rows = keyed.join(plan, F.col("source").eqNullSafe(F.col("s1"))).withColumn("part", part)
-    sums = rows.groupBy("s1", "part").agg(F.sum("size").alias("part_size"))
-    before = Window.partitionBy("s1").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
-    starts = sums.select(F.col("s1").alias("s3"), F.col("part").alias("p3"), F.coalesce(F.sum("part_size").over(before), F.lit(0)).alias("start"), "part_size")
-    placed = rows.join(starts, F.col("s1").eqNullSafe(F.col("s3")) & (F.col("part") == F.col("p3")))
-    within = Window.partitionBy("s1", "part").orderBy("key", "id", "size").rowsBetween(Window.unboundedPreceding, -1)
-    upto = F.col("start") + F.coalesce(F.sum("size").over(within), F.lit(0))
-    more = (F.col("upto") + F.col("size") / 2 <= F.col("rest")).cast("long")
-    return placed.withColumn("upto", upto).select("id", "source", "size", "source_size", "target", (F.col("epochs") + more).alias("times"))
+def keyed(docs: DataFrame, id_col: str, text_col: str, source_col: str, weight_of: Column | None = None, keep: bool = False) -> DataFrame:
+    """id, source, size and key of every row; ``keep``: beside its own columns."""
+    w = weight_of if weight_of is not None else quality(F.col(text_col).cast("string"))
+    rows = docs.select(*(docs.columns if keep else []), F.col(id_col).alias("id"), F.col(source_col).alias("source"), words_in(text_col).alias("size"), w.alias("w"))
+    return rows.withColumn("key", -F.log(uniform(F.col("id"), F.col("size"))) / F.col("w")).drop("w")
+
+
+def cutoffs(rows: DataFrame, weights: tuple[int, ...] = WEIGHTS) -> DataFrame:
+    """Per source (s1): source_size, target, epochs, and the key ``cut`` up to which documents are taken once more.
+
+    The documents that a prefix sum takes are those before one key. Sizes are
+    summed by bands of keys (added up before the shuffle) and the bands'
+    prefix sums show the one that crosses the rest; that is done again with
+    finer bands, and then with the few keys left. No source is ordered. Keys
+    below ``cut`` are taken, those above not; of the ``ties`` rows at it the
+    sums ``start`` with; ``at_cut`` is the verdict if it is one row.
+    """
+    whole = rows.groupBy("source").agg(F.sum("size").alias("source_size"))
+    plan = targets(whole, weights).withColumnRenamed("source", "s1")
+    epochs = F.floor(F.col("target") / F.greatest(F.col("source_size"), F.lit(1)))
+    plan = plan.withColumn("epochs", epochs).withColumn("rest", F.col("target") - F.col("epochs") * F.col("source_size")).withColumn("start", F.lit(0).cast("long"))
+    plan = as_table(plan, "targets")
+    place = F.log("key") * BANDS
+    band = F.floor(place)
+    finer = F.floor((place - band) * FINER)
+    step = plan
+    for name, by in (("band", band), ("finer", finer), ("cut", F.col("key"))):
+        sums = rows.withColumn(name, by) if name != "cut" else rows.withColumn("cut", F.col("key"))
+        # Only what lies in the band found so far.
+        inside = F.col("source").eqNullSafe(F.col("s1"))
+        for found, value in (("band", band), ("finer", finer)):
+            if found in step.columns:
+                inside &= value == F.col(f"{found}")
+        met = sums.withColumnRenamed(name, f"{name}_").join(step, inside)
+        totals = met.groupBy("s1", f"{name}_").agg(F.sum("size").alias("all"), F.count("*").alias("ties"))
+        before = Window.partitionBy("s1").orderBy(f"{name}_").rowsBetween(Window.unboundedPreceding, -1)
+        upto = totals.withColumn("before", F.coalesce(F.sum("all").over(before), F.lit(0)))
+        base = step.select(F.col("s1").alias("s2"), F.col("start").alias("base"), "rest")
+        crossed = upto.join(base, F.col("s1").eqNullSafe(F.col("s2"))).where(F.col("base") + F.col("before") + F.col("all") > F.col("rest"))
+        first = crossed.groupBy("s2").agg(F.min(F.struct(F.col(f"{name}_").alias("at"), (F.col("base") + F.col("before")).alias("start"), "ties", "all")).alias("x"))
+        first = first.select(F.col("s2").alias("s3"), F.col("x.at").alias(name), F.col("x.start").alias("start"), F.col("x.ties").alias("ties"), F.col("x.all").alias("all"))
+        step = as_table(step.drop("start", "ties", "all").join(first, F.col("s1").eqNullSafe(F.col("s3"))).drop("s3"), "crossed")
+    cut = step.select(F.col("s1").alias("s4"), "cut", "start", "ties", (F.col("start") + F.col("all") / 2 <= F.col("rest")).alias("at_cut"))
+    return as_table(plan.drop("start").join(cut, F.col("s1").eqNullSafe(F.col("s4")), "left").drop("s4"), "cutoffs")
+
+
+def drawn(rows: DataFrame, cuts: DataFrame, order: list[str]) -> DataFrame:
+    """rows(source, size, key, ...) with their source's target and ``times``, how often the mix takes each.
+
+    A row is compared with its source's cutoff, one row per source. Several
+    rows at the cutoff itself have one key (repeated rows, null ids of one
+    size): these alone are ordered, by ``order`` and size.
+    """
+    met = rows.join(cuts, F.col("source").eqNullSafe(F.col("s1")))
+    tied = (F.col("key") == F.col("cut")) & (F.col("ties") > 1)
+    more = F.when(F.col("cut").isNull() | (F.col("key") < F.col("cut")), 1).when((F.col("key") == F.col("cut")) & F.col("at_cut"), 1).otherwise(0)
+    if cuts.where("ties > 1").isEmpty():
+        return met.withColumn("times", F.col("epochs") + more)
+    upto = F.col("start") + F.coalesce(F.sum("size").over(Window.partitionBy("s1").orderBy(*order, "size").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    some = met.where(tied).withColumn("upto", upto).withColumn("times", F.col("epochs") + (F.col("upto") + F.col("size") / 2 <= F.col("rest")).cast("int")).drop("upto")
+    return met.where(~F.coalesce(tied, F.lit(False))).withColumn("times", F.col("epochs") + more).unionByName(some)
 
 
 def repeated(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", weights: tuple[int, ...] = WEIGHTS) -> DataFrame:
     """docs as the mix takes them: each row as often as ``mix`` says, those not taken left out.
 
-    Rows meet their turns by id, source and size and, among rows equal in
-    these, by number.
+    Rows are judged where they lie, against their source's cutoff, so that no
+    text is moved and null and repeated ids do no harm. An empty table gives
+    an empty result; all columns are kept unchanged.
     """
+    cuts = cutoffs(as_table(keyed(docs, id_col, text_col, source_col), "keys"), weights)
     # Columns by number, so that no name clashes.
     names = {c: f"c{k}" for k, c in enumerate(docs.columns)}
-    mine, text, source = names[id_col], names[text_col], names[source_col]
-    rows = docs.toDF(*names.values()).withColumn("size", words_in(text))
-    rows = rows.withColumn("n", F.row_number().over(Window.partitionBy(mine, source, "size").orderBy(text)))
-    taken = turns(docs, id_col, text_col, source_col, weights)
-    taken = taken.select("id", "source", F.col("size").alias("words"), "times", F.row_number().over(Window.partitionBy("id", "source", "size").orderBy(F.desc("times"))).alias("turn"))
-    met = rows.join(taken, F.col(mine).eqNullSafe(F.col("id")) & F.col(source).eqNullSafe(F.col("source")) & (F.col("size") == F.col("words")) & (F.col("n") == F.col("turn")))
-    again = met.where(F.col("times") > 0).withColumn("again", F.explode(F.sequence(F.lit(1), F.col("times").cast("int"))))
+    rows = keyed(docs.toDF(*names.values()), names[id_col], names[text_col], names[source_col], keep=True)
+    taken = drawn(rows, cuts, ["id", names[text_col]]).where("times > 0")
+    again = taken.withColumn("again", F.explode(F.sequence(F.lit(1), F.col("times").cast("int"))))
     return again.select(*[F.col(n).alias(c) for c, n in names.items()])
 
 

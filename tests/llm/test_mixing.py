@@ -17,14 +17,29 @@ def test_documents_match_sql(spark):
     assert same(mixing.op4_mix(spark, SF), mixing.ORACLE, SF) == 200
 
 
-@pytest.mark.parametrize("slice_rows", [1, 2, 50_000])
-def test_odd_rows_match_sql(spark, slice_rows):
+@pytest.mark.parametrize("bands, finer", [(64, 4096), (1, 2)])
+def test_odd_rows_match_sql(spark, monkeypatch, bands, finer):
+    monkeypatch.setattr(mixing, "BANDS", bands)
+    monkeypatch.setattr(mixing, "FINER", finer)
     df = spark.createDataFrame([(*r, 1, "k") for r in ROWS], "doc_id long, text string, source string, size int, key string")
     pdf = pd.DataFrame(ROWS, columns=["doc_id", "text", "source"]).astype({"doc_id": "Int64"})
-    assert same(mixing.mix(df, slice_rows=slice_rows), mixing.ORACLE, documents=pdf) == len(ROWS)
+    assert same(mixing.mix(df), mixing.ORACLE, documents=pdf) == len(ROWS)
     assert mixing.mix(df.limit(0)).count() == 0
 
 
+def test_many_rows_at_the_cutoff_match_sql(spark):
+    """A third of a source are rows of null id and one size, which share a key, and many more repeat in full."""
+    rows = [(None, f"w{i} two three", "x") for i in range(300)] + [(7, "one two", "x")] * 200 + [(i, "a b c d " * (i % 5), "xyz"[i % 3]) for i in range(100, 400)]
+    pdf = pd.DataFrame(rows, columns=["doc_id", "text", "source"]).astype({"doc_id": "Int64"})
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    assert same(mixing.mix(df), mixing.ORACLE, documents=pdf) == len(rows)
+    sizes = Counter()
+    for r in mixing.repeated(df).collect():
+        sizes[r["source"]] += len(r["text"].split())
+    total = sum(sizes.values())
+    assert abs(total - sum(len(t.split()) for _, t, _ in rows)) <= 3 * 20
+
+
 def fill(sizes, cap=3):
     """Targets by giving out the excess again and again."""
     names = sorted((s for s in sizes if s is not None)) + ([None] if None in sizes else [])
