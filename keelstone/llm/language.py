@@ -24,8 +24,8 @@ ROUNDS = 30
 #: Hashed weights, and words of each language's lexicon.
 BUCKETS = 1 << 15
 LEXICON = 200
-#: A task forgets the words it has met beyond this number.
-KNOWN = 300_000
+#: A task forgets the words it has met beyond this number, or so many characters.
+KNOWN, KNOWN_CHARS = 300_000, 16 << 20
 #: Words that take their steps together, about.
 TOGETHER = 400_000
 UNKNOWN = "und"
@@ -41,10 +41,9 @@ def words_of(text: str) -> list[str]:
 
 
 def features(word: str) -> list[int]:
-    """Affixes, character n-grams and the word itself, hashed."""
-    w = word[:40]
-    marked = f"<{w}>"
-    names = [f"p{w[:i]}" for i in (1, 2, 3)] + [f"s{w[-i:]}" for i in (1, 2, 3, 4)] + [f"w{w}"]
+    """Affixes, character n-grams and the word itself, hashed; all of it, however long."""
+    marked = f"<{word}>"
+    names = [f"p{word[:i]}" for i in (1, 2, 3)] + [f"s{word[-i:]}" for i in (1, 2, 3, 4)] + [f"w{word}"]
     names += ["g" + marked[i : i + n] for n in (2, 3) for i in range(len(marked) - n + 1)]
     return [crc32(x.encode("utf-8", "replace")) % BUCKETS for x in names]
 
@@ -65,20 +64,27 @@ class Field:
     def emission(self, words: list[str]) -> np.ndarray:
         """(words, labels): each word's factor for each label, the largest 1."""
         out = np.zeros((len(words), len(self.labels)))
-        for at in range(0, len(words), 4096):
-            lists = [self.rows(w) for w in words[at : at + 4096]]
+        at = 0
+        while at < len(words):
+            end, size = at, 0
+            while end < len(words) and end - at < 4096 and (end == at or size + len(words[end]) <= 1 << 16):
+                size += len(words[end])
+                end += 1
+            lists = [self.rows(w) for w in words[at:end]]
             s = np.add.reduceat(self.weights[np.concatenate(lists)], np.cumsum([0, *map(len, lists)])[:-1], axis=0)
-            out[at : at + 4096] = np.maximum(np.exp(s - s.max(axis=1, keepdims=True)), 1e-12)
+            out[at:end] = np.maximum(np.exp(s - s.max(axis=1, keepdims=True)), 1e-12)
+            at = end
         return out
 
 
-def marginals(emission: np.ndarray, types: np.ndarray, lengths: np.ndarray, steps: np.ndarray, each: bool = False) -> tuple[np.ndarray, np.ndarray | None, np.ndarray]:
+def marginals(emission: np.ndarray, types: np.ndarray, lengths: np.ndarray, steps: np.ndarray, each: bool = False) -> tuple[np.ndarray, np.ndarray | None, np.ndarray, np.ndarray]:
     """Forward-backward over many sequences at once.
 
     types: the sequences' word numbers end to end. Returns each sequence's sum
     of label probabilities over its words and, if asked for, each word's and the
-    expected number of steps from label to label. All sequences take a step together, the longest first, so that those that have
-    ended drop off the end.
+    expected number of steps from label to label; last, each sequence's sum of
+    its words' largest probabilities. All sequences take a step together, the
+    longest first, so that those that have ended drop off the end.
     """
     order = np.argsort(-lengths, kind="stable")
     starts = (np.cumsum(lengths) - lengths)[order]
@@ -93,7 +99,7 @@ def marginals(emission: np.ndarray, types: np.ndarray, lengths: np.ndarray, step
         now = emission[types[at]] if t == 0 else (now[:a] @ trans) * emission[types[at]]
         now /= now.sum(axis=1, keepdims=True)
         alpha[at] = now
-    total = np.zeros((len(lengths), n))
+    total, sure = np.zeros((len(lengths), n)), np.zeros(len(lengths))
     beta, joint = np.ones((len(lengths), n)), np.zeros((n, n))
     for t in range(len(active) - 1, -1, -1):
         a = active[t]
@@ -101,6 +107,7 @@ def marginals(emission: np.ndarray, types: np.ndarray, lengths: np.ndarray, step
         p = alpha[at] * beta[:a]
         p /= p.sum(axis=1, keepdims=True)
         total[order[:a]] += p
+        sure[order[:a]] += p.max(axis=1)
         if each:
             alpha[at] = p
         ahead = beta[:a] * emission[types[at]]
@@ -109,7 +116,7 @@ def marginals(emission: np.ndarray, types: np.ndarray, lengths: np.ndarray, step
             joint += (both / both.sum(axis=(1, 2), keepdims=True)).sum(axis=0)
         back = ahead @ trans.T
         beta[:a] = back / back.sum(axis=1, keepdims=True)
-    return total, alpha if each else None, joint
+    return total, alpha if each else None, joint, sure
 
 
 def fit(texts: list[tuple[str, str]], seed: int = 7) -> Field:
@@ -163,7 +170,7 @@ def fit(texts: list[tuple[str, str]], seed: int = 7) -> Field:
     for _ in range(ROUNDS):
         s = np.add.reduceat(field.weights[flat], np.cumsum([0, *map(len, lists)])[:-1], axis=0)
         e = np.maximum(np.exp(s - s.max(axis=1, keepdims=True)), 1e-12)
-        _, p, joint = marginals(e, types, lengths, field.steps, each=True)
+        _, p, joint, _ = marginals(e, types, lengths, field.steps, each=True)
         err = -p
         err[np.arange(len(gold)), gold] += 1
         by_type = np.stack([np.bincount(types, weights=err[:, k], minlength=len(lists)) for k in range(n)], axis=1)
@@ -186,10 +193,9 @@ def training_texts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     order = Window.partitionBy("lang").orderBy(F.xxhash64("id"), "id")
     # Chosen from ids and lengths; the texts of the chosen are then looked up by id.
     chosen = rows.where(F.length("text").between(1, TRAIN_CHARS)).select("id", "lang").withColumn("n", F.row_number().over(order)).where(F.col("n") <= per_language)
-    ids = [r["id"] for r in chosen.select("id").collect()]
-    if not ids:
-        return []
-    found = rows.where(F.col("id").isin(ids) & F.length("text").between(1, TRAIN_CHARS)).select("id", "text", "lang").collect()
+    # At most per_language ids of each language.
+    ids = F.broadcast(chosen.select("id").distinct())
+    found = rows.where(F.length("text").between(1, TRAIN_CHARS)).join(ids, "id", "left_semi").select("id", "text", "lang").collect()
     return [(r["text"], r["lang"]) for r in sorted(found, key=lambda r: (str(r["id"]), r["lang"], r["text"]))]
 
 
@@ -201,26 +207,30 @@ def classify(docs: DataFrame, field: Field, id_col: str = "doc_id", text_col: st
     """docs' id with lang_pred and score.
 
     Every word with a letter is labelled by forward-backward over the whole
-    text; lang_pred has the largest mean probability, which is the score. A
-    text that is null or has no letter is ``und`` with score 0. Null ids and
-    repeated rows are classified like others; an empty table gives an empty
-    result; other columns are ignored.
+    text, of any length; lang_pred has the largest mean probability, which is
+    the score. A text that is null or has no letter is ``und`` with score 0.
+    Null ids and repeated rows are classified like others; an empty table gives
+    an empty result; other columns are ignored.
     """
-    return _verdicts(docs, field, [id_col], text_col).toDF(id_col, "lang_pred", "score")
+    return _verdicts(docs, field, [id_col], text_col).drop("sure").toDF(id_col, "lang_pred", "score")
 
 
 def _verdicts(docs: DataFrame, field: Field, columns: list[str], text_col: str) -> DataFrame:
-    """The named columns as c0, c1, ... (so that no name clashes) with lang_pred and score."""
+    """The named columns as c0, c1, ... (so that no name clashes) with lang_pred, score and sure.
+
+    sure is the mean over the words of each one's largest probability: in
+    code-switched text it is high where the score, a language's share, is not.
+    """
     types = {f.name: f.dataType.simpleString() for f in docs.schema.fields}
     shared = docs.sparkSession.sparkContext.broadcast(field)  # BUCKETS rows of weights
     known: dict[str, int] = {}
-    state = {"emission": np.zeros((0, max(1, len(field.labels))))}
+    state = {"emission": np.zeros((0, max(1, len(field.labels)))), "chars": 0}
 
     def run(t: pa.Table) -> pa.Table:
         model: Field = shared.value
-        if len(known) > KNOWN:
+        if len(known) > KNOWN or state["chars"] > KNOWN_CHARS:
             known.clear()
-            state["emission"] = state["emission"][:0]
+            state.update(emission=state["emission"][:0], chars=0)
         lists, new = [], []
         for raw in t[text].cast(pa.binary()).to_pylist() if model.labels else []:
             mine = []
@@ -236,7 +246,8 @@ def _verdicts(docs: DataFrame, field: Field, columns: list[str], text_col: str)
             lists.append(mine)
         if new:
             state["emission"] = np.concatenate([state["emission"], model.emission(new)])
-        pred, score = [UNKNOWN] * t.num_rows, np.zeros(t.num_rows)
+            state["chars"] += sum(map(len, new))
+        pred, score, sure = [UNKNOWN] * t.num_rows, np.zeros(t.num_rows), np.zeros(t.num_rows)
         # The longest first, so that texts of like length take their steps together.
         some = sorted((i for i, x in enumerate(lists) if x), key=lambda i: -len(lists[i]))
         while some:
@@ -246,15 +257,15 @@ def _verdicts(docs: DataFrame, field: Field, columns: list[str], text_col: str)
                 n += 1
             part, some = some[:n], some[n:]
             lengths = np.array([len(lists[i]) for i in part])
-            total, _, _ = marginals(state["emission"], np.concatenate([np.array(lists[i], np.int64) for i in part]), lengths, model.steps)
-            for i, m in zip(part, total / lengths[:, None]):
-                pred[i], score[i] = model.labels[int(m.argmax())], min(1.0, float(m.max()))
-        return pa.table({f"c{k}": t[f"c{k}"] for k in range(len(columns))} | {"lang_pred": pa.array(pred, pa.string()), "score": pa.array(score)})
+            total, _, _, most = marginals(state["emission"], np.concatenate([np.array(lists[i], np.int64) for i in part]), lengths, model.steps)
+            for i, m, x in zip(part, total / lengths[:, None], most / lengths):
+                pred[i], score[i], sure[i] = model.labels[int(m.argmax())], min(1.0, float(m.max())), x
+        return pa.table({f"c{k}": t[f"c{k}"] for k in range(len(columns))} | {"lang_pred": pa.array(pred, pa.string()), "score": pa.array(score), "sure": pa.array(sure)})
 
     # The text travels once, also where it is one of the columns.
     text = f"c{columns.index(text_col)}" if text_col in columns else "text"
     rows = docs.select(*[F.col(c).alias(f"c{k}") for k, c in enumerate(columns)], *([] if text_col in columns else [utf8(text_col).alias("text")]))
-    schema = ", ".join([*(f"c{k} {types[c]}" for k, c in enumerate(columns)), "lang_pred string", "score double"])
+    schema = ", ".join([*(f"c{k} {types[c]}" for k, c in enumerate(columns)), "lang_pred string", "score double", "sure double"])
     return map_batches(rows, run, schema, 4096)
 
 
@@ -270,11 +281,19 @@ def identify(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", la
 
 
 def accepted(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", least: float = MIN_SCORE) -> DataFrame:
-    """The rows of docs, all columns unchanged, whose language is told with a score of ``least`` or more."""
+    """The rows of docs, all columns unchanged, whose words' languages are told with a mean probability of ``least`` or more.
+
+    That is each word's own most likely language, so that a text of several
+    languages stays. Texts that are null or have no letter go. Where no row has
+    a usable label nothing can be told, and every row stays; repeated rows and
+    null ids are judged by their texts; an empty table gives an empty result.
+    """
     field = fit(training_texts(docs, id_col, text_col, lang_col))
+    if not field.labels:
+        return docs
     # The text travels with its verdict, so that nothing is joined back by an id.
-    out = _verdicts(docs, field, docs.columns, text_col).where((F.col("lang_pred") != UNKNOWN) & (F.col("score") >= least))
-    return out.drop("lang_pred", "score").toDF(*docs.columns)
+    out = _verdicts(docs, field, docs.columns, text_col).where((F.col("lang_pred") != UNKNOWN) & (F.col("sure") >= least))
+    return out.drop("lang_pred", "score", "sure").toDF(*docs.columns)
 
 
 def op10_language(spark: SparkSession, sf_dir: str) -> DataFrame:
