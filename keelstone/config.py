@@ -2,17 +2,22 @@
 
 from __future__ import annotations
 
+import math
 from dataclasses import dataclass, replace
 
+#: Entries of a run's file, at most.
+FILE_ENTRIES = 2_000_000
+
 
 @dataclass(frozen=True)
 class TableConfig:
     """merge_policy and size_ratio: lazy levelling with four runs to a level.
 
-    write_buffer: entries after which small batches are merged. merge_schedule:
-    ``one_shot`` merges within the update that fills the buffer, ``incremental``
-    leaves it to ``compact``. bloom: false-positive rate of the Parquet filters
-    on keys, or ``bits:n`` per entry. fence_index: ``ordinary`` or ``compact``
+    write_buffer: entries of small batches that are held before they become a
+    run. merge_schedule: ``one_shot`` merges a full level within the update that
+    fills it, ``incremental`` once updates have brought enough credits. bloom:
+    false-positive rate of the Parquet filters on keys, or ``bits:n``, the bits
+    per entry that give it. fence_index: ``ordinary`` or ``compact``
     (Parquet's column index serves both). cache: ``all``, ``none`` or a number
     of levels; it is kept with the table, and Spark's readers decide by
     themselves. merge_batch: entries per merge step.
@@ -34,13 +39,21 @@ class TableConfig:
             raise ValueError("unknown merge schedule or fence index")
         if self.write_buffer < 1 or not 1 <= self.merge_batch <= self.write_buffer:
             raise ValueError("merge_batch lies between one and write_buffer")
-        if isinstance(self.bloom, float) and not 0 < self.bloom < 1:
+        if not 0 < self.false_positives() < 1:
             raise ValueError("a false-positive rate lies between zero and one")
 
+    def false_positives(self) -> float:
+        """The rate, or that of a filter of blocks of eight bits an entry sets, with so many bits per entry."""
+        if not isinstance(self.bloom, str):
+            return float(self.bloom)
+        kind, _, bits = self.bloom.partition(":")
+        if kind != "bits" or not bits.replace(".", "", 1).isdigit() or float(bits) <= 0:
+            raise ValueError("bloom is a rate or bits:n")
+        return (1 - math.exp(-8 / float(bits))) ** 8
+
     def write_options(self) -> dict[str, str]:
-        """Parquet writer options for a run's key column."""
-        fpp = self.bloom if isinstance(self.bloom, float) else 1e-3
-        return {"compression": "zstd", "parquet.bloom.filter.enabled#k": "true", "parquet.bloom.filter.fpp#k": str(fpp)}
+        """Parquet writer options for a run: filters on keys, and files that one executor can read at once."""
+        return {"compression": "zstd", "maxRecordsPerFile": str(FILE_ENTRIES), "parquet.bloom.filter.enabled#k": "true", "parquet.bloom.filter.fpp#k": str(self.false_positives())}
 
 
 @dataclass(frozen=True)

@@ -33,6 +33,16 @@ class Codec:
         wide = F.concat(F.when((F.lit(self.signed)) & (F.hex(b) >= "8"), F.lit("F" * (16 - 2 * self.width))).otherwise(""), F.hex(b))
         return F.conv(wide, 16, -10 if self.signed else 10).cast("decimal(20,0)").cast(self.spark_type)
 
+    def value_to_bytes(self, v: Column) -> Column:
+        """A value's bytes: numbers have the least byte first."""
+        return self._turned(self.to_bytes(v))
+
+    def value_from_bytes(self, b: Column) -> Column:
+        return self.from_bytes(self._turned(b))
+
+    def _turned(self, b: Column) -> Column:
+        return F.concat(*[F.substring(b, i, 1) for i in range(self.width, 0, -1)]) if self.width else b
+
     def order(self, k: Column) -> list[Column]:
         """Sort columns that give the order of the bytes."""
         return [(k < 0).asc(), k.asc()] if self.signed else [k.asc()]

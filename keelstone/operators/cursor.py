@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import itertools
 import threading
 from collections.abc import Callable
 from typing import Any
@@ -10,16 +11,15 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from keelstone import errors
-from keelstone.operators.table import Entry, Table, collected, entry
-from keelstone.plans.resolve import level_state
+from keelstone.operators.table import REF, Entry, Table, collected, entry
 
 
 class Cursor:
     """Reads a table as it was when the cursor was made, from its least key or from ``at`` on.
 
-    Each read takes the entries after the last key read: a bound that reaches
-    the scan and a limit that each task applies before the few rows meet. A
-    cursor outlives its table, not its session.
+    The first read resolves what is ahead once and writes it in key order, with
+    the bounds and sizes of its files; a read opens only the files that hold
+    its entries. A cursor outlives its table, not its session.
     """
 
     closes_at = 0
@@ -28,32 +28,80 @@ class Cursor:
         table.check()
         self.table, self.content, self.closed = table, table.content, False
         self.last, self.start, self._lock = None, at, threading.Lock()
+        self._files: list[tuple[str, int]] | None = None
         table.session.keep(self)
         table.session.trace("cursor", id(self), "new_cursor", at=at)
 
-    def _ahead(self) -> DataFrame:
+    def _check(self) -> None:
         if self.closed:
             raise errors.CursorClosedError()
         self.table.session.check()
-        k, codec = F.col("k"), self.table.key
-        log = self.table.log(self.content)
-        if self.last is not None:
-            log = log.where(codec.above(k, self.last))
-        elif self.start is not None:
-            log = log.where(codec.at_least(k, self.start))
-        return level_state(log, self.table.resolver)
+
+    def _ahead(self) -> DataFrame:
+        """All that was ahead at the start."""
+        inside = None if self.start is None else self.table.key.at_least(F.col("k"), self.start)
+        return self.table.resolved(self.content, inside)
+
+    def _view(self) -> list[tuple[str, int]]:
+        """(path, entries) of the files of the written view, in key order."""
+        if self._files is None:
+            session, order = self.table.session, self.table.key.order(F.col("k"))
+            _, name = session.fresh("cursor")
+            path = f"{session.root}/active/{name}"
+            self._schema = f"k {self.table.key.spark_type}, v {self.table.value_type}, blob {REF}"
+            rows = self._ahead()
+            rows.repartitionByRange(*order).sortWithinPartitions(*order).write.options(**self.table.config.write_options()).parquet(path)
+            read = session.spark.read.schema(self._schema).parquet(path)
+            files = read.groupBy(F.col("_metadata.file_path").alias("path")).agg(F.count("*").alias("n"), self._least().alias("least"))
+            self._files = [(r["path"], r["n"]) for r in collected(files.orderBy("least"))]
+        return self._files
+
+    def _least(self) -> Column:
+        return F.min(F.struct((F.col("k") < 0).alias("a") if self.table.key.signed else F.lit(0).alias("a"), F.col("k").alias("b")))
+
+    def _page(self, n: int) -> DataFrame | None:
+        """The entries after the last one read, from as many files as hold n of them for certain."""
+        files, sure, paths = self._view(), 0, []
+        for i, (path, m) in enumerate(files):
+            # Some of the first file's entries are read already, nobody counts how many.
+            sure += m if i else 0
+            paths.append(path)
+            if sure >= n:
+                break
+        if not paths:
+            return None
+        page = self.table.session.spark.read.schema(self._schema).parquet(*paths)
+        return page if self.last is None else page.where(self.table.key.above(F.col("k"), self.last))
 
     def frame(self) -> DataFrame:
         """All that is ahead, in order; the cursor stays where it is."""
-        return self._ahead().orderBy(*self.table.key.order(F.col("k")))
+        self._check()
+        rows = self._ahead() if self._files is None else self._page(1 << 62)
+        if rows is None:
+            rows = self._ahead().limit(0)
+        return rows.orderBy(*self.table.key.order(F.col("k")))
+
+    def _take(self, n: int, holds: Column | None = None) -> list[Entry]:
+        page = self._page(max(0, n)) if n > 0 else None
+        if page is None:
+            return []
+        if holds is not None:
+            page = prefix(page, holds, self.table)
+        rows = collected(page.orderBy(*self.table.key.order(F.col("k"))).limit(n).select("k", "v", "blob", F.col("_metadata.file_path").alias("path")))
+        if rows:
+            self._move(rows[-1])
+        return [entry(r) for r in rows]
+
+    def _move(self, row: Any) -> None:
+        self.last = row["k"]
+        at = next(i for i, (path, _) in enumerate(self._files) if path == row["path"])
+        self._files = self._files[at:]
 
     def take(self, n: int) -> list[Entry]:
         """Up to n entries; the cursor moves behind them."""
         with self._lock:
-            rows = [entry(r) for r in collected(self.frame().limit(max(0, n)))]
-            if rows:
-                self.last = rows[-1].key
-            return rows
+            self._check()
+            return self._take(n)
 
     def next(self) -> Entry | None:
         rows = self.take(1)
@@ -62,25 +110,20 @@ class Cursor:
     def take_while(self, n: int, holds: Callable[[Any], bool]) -> list[Entry]:
         """Up to n entries while ``holds`` is true of the key; stops before the first key it isn't true of.
 
-        ``holds`` is tried on the key itself, and on a column first: a column
-        condition ends the read within Spark.
+        ``holds`` is tried on a column first: a column condition ends the read
+        within Spark. Otherwise it is tried on the keys themselves.
         """
         with self._lock:
-            ahead = self._ahead()
-            order = self.table.key.order(F.col("k"))
+            self._check()
             test = holds(F.col("k"))
             if isinstance(test, Column):
-                ahead = prefix(ahead, test, self.table)
-                rows = [entry(r) for r in collected(ahead.orderBy(*order).limit(max(0, n)))]
-            else:
-                rows = []
-                for r in collected(ahead.orderBy(*order).limit(max(0, n))):
-                    if not holds(r["k"]):
-                        break
-                    rows.append(entry(r))
-            if rows:
-                self.last = rows[-1].key
-            return rows
+                return self._take(n, test)
+            page = self._page(max(0, n)) if n > 0 else None
+            rows = [] if page is None else collected(page.orderBy(*self.table.key.order(F.col("k"))).limit(n).select("k", "v", "blob", F.col("_metadata.file_path").alias("path")))
+            good = list(itertools.takewhile(lambda r: holds(r["k"]), rows))
+            if good:
+                self._move(good[-1])
+            return [entry(r) for r in good]
 
     def close(self) -> None:
         self.closed = True

@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from keelstone import errors
-from keelstone.operators.table import Content, Table
+from keelstone.operators.table import Content, Run, Table
 from keelstone.plans.resolve import union_state
 
 #: Key buckets in which a union is paid off.
@@ -21,10 +21,10 @@ BUCKETS = 16
 class Union:
     """The union of tables' contents as they were, resolved bucket by bucket.
 
-    Buckets are shares of keys by hash. A paid bucket lies in a file; the others
-    are resolved whenever they are read. Debt is the number of entries in
-    unpaid buckets, and one more while any is unpaid. Tables that share a union
-    share its progress.
+    Buckets are shares of keys by hash. A paid bucket lies in a run of inserts;
+    the others are resolved whenever they are read. Debt is the number of
+    entries in unpaid buckets, and one more while any is unpaid. Tables that
+    share a union share its progress.
     """
 
     owner: Table
@@ -32,6 +32,7 @@ class Union:
     buckets: int = BUCKETS
     paid: dict[int, str] = field(default_factory=dict)
     sizes: list[int] = field(default_factory=list)
+    runs: list[Run] = field(default_factory=list)
 
     def __post_init__(self) -> None:
         self.lock = threading.RLock()
@@ -40,7 +41,7 @@ class Union:
         return F.pmod(F.xxhash64("k"), F.lit(self.buckets))
 
     def _inputs(self) -> list[DataFrame]:
-        return [_state(t, c) for t, c in self.tables]
+        return [t.resolved(c) for t, c in self.tables]
 
     def _counted(self) -> list[int]:
         if not self.sizes:
@@ -51,16 +52,19 @@ class Union:
             self.sizes = counts
         return self.sizes
 
+    def log(self) -> DataFrame:
+        """The state as inserts older than all other entries."""
+        return self.state().select("k", F.lit(-1).cast("bigint").alias("seq"), F.lit("I").alias("op"), "v", "blob")
+
     def state(self) -> DataFrame:
         with self.lock:
-            spark, paid = self.owner.session.spark, sorted(self.paid.items())
-            parts = []
-            if paid:
-                parts.append(spark.read.schema(f"k {self.owner.key.spark_type}, v {self.owner.value_type}, blob struct<run: string, seq: bigint>").parquet(*sorted({p for _, p in paid})))
+            paid, parts = sorted(self.paid), []
+            if self.runs:
+                parts.append(self.owner.read_runs(self.runs).select("k", "v", "blob"))
             if len(paid) < self.buckets:
                 ins = self._inputs()
                 if paid:
-                    left = ~self._bucket().isin([b for b, _ in paid])
+                    left = ~self._bucket().isin(paid)
                     ins = [s.where(left) for s in ins]
                 parts.append(union_state(ins, self.owner.resolver))
             return parts[0] if len(parts) == 1 else parts[0].unionByName(parts[1])
@@ -71,6 +75,10 @@ class Union:
             left = [b for b in range(self.buckets) if b not in self.paid and sizes[b]]
             return sum(sizes[b] for b in left) + 1 if left else 0
 
+    def as_runs(self) -> list[Run]:
+        """The runs of a union that is paid off."""
+        return list(self.runs)
+
     def supply(self, credits: int) -> int:
         """Pay whole buckets worth at least ``credits``; what is left over once all is paid comes back."""
         with self.lock:
@@ -82,22 +90,18 @@ class Union:
                     due.append(b)
                     gained += n
             if due:
-                _, path = self.owner.session.fresh("union")
-                chosen = self._bucket().isin(due)
-                done = union_state([s.where(chosen) for s in self._inputs()], self.owner.resolver)
-                done.write.options(**self.owner.config.write_options()).parquet(path)
-                self.paid |= dict.fromkeys(due, path)
+                _, name = self.owner.session.fresh("run")
+                ins = self._inputs() if len(due) == self.buckets else [s.where(self._bucket().isin(due)) for s in self._inputs()]
+                done = union_state(ins, self.owner.resolver)
+                rows = done.select("k", F.lit(-1).cast("bigint").alias("seq"), F.lit("I").alias("op"), "v", "blob")
+                self.owner._write(rows, self.owner.session.run_path(name))
+                made = self.owner.made_run(name)
+                if made.entries:
+                    self.runs.append(made)
+                self.paid |= dict.fromkeys(due, name)
             return max(0, credits - before) if self.debt() == 0 else 0
 
 
-def _state(t: Table, c: Content) -> DataFrame:
-    from keelstone.plans.resolve import level_state
-
-    if c.union is not None and not c.runs:
-        return c.union.state()
-    return level_state(t.log(c), t.resolver)
-
-
 def incremental_unions(tables: Sequence[Table]) -> Table:
     """The union of the tables as they are now; the work is done when the result is read or paid for.
 
@@ -117,7 +121,8 @@ def incremental_unions(tables: Sequence[Table]) -> Table:
     if len(tables) == 1:
         return first.duplicate()
     out = Table(first.session, first.key, first.value_type, first.resolver, tables[-1].config)
-    out.content = Content((), Union(out, [(t, t.content) for t in tables]), max(t.content.batches for t in tables))
+    blobs = frozenset().union(*(t.content.blobs for t in tables))
+    out.content = Content((), Union(out, [(t, t.content) for t in tables]), max(t.content.batches for t in tables), blobs=blobs)
     out.trace("incremental_unions", tables=len(tables))
     return out
 
@@ -130,7 +135,7 @@ def unions(tables: Sequence[Table]) -> Table:
     """The same, with all work done now."""
     out = incremental_unions(tables)
     if out.content.union is not None and len(tables) > 1:
-        out.content.union.supply(max(1, out.content.union.debt()))
+        supply_union_credits(out, max(1, out.content.union.debt()))
     return out
 
 
@@ -149,4 +154,6 @@ def supply_union_credits(t: Table, credits: int) -> int:
     t.check()
     if t.content.union is None:
         return max(0, credits)
-    return t.content.union.supply(credits)
+    left = t.content.union.supply(credits)
+    t.migrate_union()
+    return left

@@ -8,19 +8,22 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from keelstone.config import TableConfigOverride
-from keelstone.functions.codecs import INT64
+from keelstone.config import TableConfig, TableConfigOverride
+from keelstone.functions import laws
+from keelstone.functions.codecs import BYTES, INT32, INT64, UTF8
 from keelstone.functions.resolvers import FIRST, MAX, MIN, SUM, Resolver, concat, fold
-from keelstone.operators import snapshot, union
+from keelstone.operators import simple, snapshot, union
 from keelstone.operators.cursor import Cursor, prefix
 from keelstone.operators.session import Session
-from keelstone.operators.table import Table, blob_frame
-from keelstone.plans.resolve import level_state, lookups, merged_log, union_state
-from keelstone.sources.logs import EVENTS_LOG, events_log, orders_log
+from keelstone.operators.table import Delete, Insert, Range, Table, Upsert
+from keelstone.plans.ordinals import numbered
+from keelstone.plans.resolve import hot_keys, level_state, lookups, merged_log, union_state
+from keelstone.sources.logs import EVENTS_LOG, as_log, events_log, orders_log
 from keelstone.sources.scratch import session_root
+from keelstone.streaming.ingest import ingest
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -73,8 +76,6 @@ for _name, _resolver, _total in [("sum", SUM, "sum"), ("first", FIRST, "first"),
 @query("resolve_hot_keys", f"{RESOLVED} SELECT k, v, blob FROM S")
 def resolve_hot_keys(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The plan for keys that hold a large share of the log."""
-    from keelstone.plans.resolve import hot_keys
-
     log = events_log(spark, sf_dir)
     return level_state(log, SUM, hot_keys(log, 100)).select("k", "v", "blob")
 
@@ -123,8 +124,7 @@ def _range(low: int, high: int, inclusive: bool) -> Callable:
     def run(spark: SparkSession, sf_dir: str) -> DataFrame:
         k = F.col("k")
         log = orders_log(spark, sf_dir).where(INT64.at_least(k, low) & INT64.below(k, high, inclusive))
-        out = level_state(log, FIRST)
-        return out.select(F.row_number().over(Window.orderBy("k")).cast("bigint").alias("ordinal"), "k", "v")
+        return numbered(level_state(log, FIRST), INT64).select("ordinal", "k", "v")
 
     return run
 
@@ -145,7 +145,7 @@ def range_int64_bytes(spark: SparkSession, sf_dir: str) -> DataFrame:
     k = F.col("k")
     keys = spark.read.parquet(f"{sf_dir}/events.parquet").select((F.col("event_id") - 500).alias("k"))
     inside = keys.where(INT64.at_least(k, 5) & INT64.below(k, -16, True))
-    return inside.select(F.row_number().over(Window.orderBy(*INT64.order(k))).cast("bigint").alias("ordinal"), "k", F.hex(INT64.to_bytes(k)).alias("key_bytes"))
+    return numbered(inside, INT64).select("ordinal", "k", F.hex(INT64.to_bytes(k)).alias("key_bytes"))
 
 
 # Updates on top of the log: (k, op, v, blob), in this order.
@@ -180,9 +180,9 @@ for _name, _rows in UPDATES.items():
 # Tables in a session
 
 
-def _table(spark: SparkSession, sf_dir: str, batches: int = 1) -> Table:
+def _table(spark: SparkSession, sf_dir: str, batches: int = 1, config: TableConfig | None = None) -> Table:
     """The events log as a table, in so many batches one after another."""
-    table = Table(Session.open(spark, session_root(spark)), INT64, "bigint", SUM)
+    table = Table(Session.open(spark, session_root(spark)), INT64, "bigint", SUM, config or TableConfig())
     log = events_log(spark, sf_dir).select(F.col("seq").alias("ordinal"), "k", "op", "v", F.col("blob").cast("binary").alias("blob"))
     last = (log.agg(F.max("ordinal")).first()[0] or 0) + 1
     for b in range(batches):
@@ -192,8 +192,7 @@ def _table(spark: SparkSession, sf_dir: str, batches: int = 1) -> Table:
 
 def _shown(table: Table, state: DataFrame | None = None) -> DataFrame:
     """(k, v, blob) with the blobs' text."""
-    state = table.state() if state is None else state
-    return blob_frame(table.session, state, table.content.runs).select("k", "v", F.col("bytes").cast("string").alias("blob"))
+    return table.with_blobs(state).select("k", "v", F.col("bytes").cast("string").alias("blob"))
 
 
 @query("updates_batch_order", f"{RESOLVED} SELECT k, v, blob FROM S")
@@ -299,7 +298,7 @@ _ORDERED = f"{RESOLVED}, C AS (SELECT row_number() OVER (ORDER BY k) AS ordinal,
 
 
 def _ordinal(df: DataFrame) -> DataFrame:
-    return df.select(F.row_number().over(Window.orderBy("k")).cast("bigint").alias("ordinal"), "k", "v")
+    return numbered(df, INT64).select("ordinal", "k", "v")
 
 
 @query("cursor_full", _ORDERED % 0)
@@ -394,7 +393,286 @@ def compact_last_level(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("compacted_table", f"{RESOLVED} SELECT k, v, blob FROM S")
 def compacted_table(spark: SparkSession, sf_dir: str) -> DataFrame:
     table = _table(spark, sf_dir, 4)
-    runs = table.content.runs
     table.compact(2)
     table.compact()
-    return blob_frame(table.session, table.state(), runs).select("k", "v", F.col("bytes").cast("string").alias("blob"))
+    return _shown(table)
+
+
+# The tables' own operations, from their handles
+
+
+def _log_rows(spark: SparkSession, sf_dir: str, where: str = "true") -> DataFrame:
+    """events as a batch of updates."""
+    return events_log(spark, sf_dir).where(where).select(F.col("seq").alias("ordinal"), "k", "op", "v", F.col("blob").cast("binary").alias("blob"))
+
+
+LIST = list(range(0, 240, 3)) * 2
+
+_LIST_SQL = f"{RESOLVED}, P AS (SELECT (i // 3 + 80 * r)::INT AS ordinal, i AS k FROM (SELECT unnest(range(0, 240, 3)) AS i), (SELECT unnest([0, 1]) AS r))"
+
+
+@query("table_lookups", _LIST_SQL + " SELECT P.ordinal, P.k, S.k IS NOT NULL AS found, v, blob IS NOT NULL AS has_blob FROM P LEFT JOIN S ON P.k = S.k")
+def table_lookups(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A list of keys, some of them absent and each of them twice."""
+    found = _table(spark, sf_dir, 2).lookups(LIST)
+    return spark.createDataFrame([(i, k, r.found, r.value, r.blob is not None) for i, (k, r) in enumerate(zip(LIST, found))], "ordinal int, k bigint, found boolean, v bigint, has_blob boolean")
+
+
+@query("table_members", _LIST_SQL + " SELECT P.ordinal, P.k, S.k IS NOT NULL AS member FROM P LEFT JOIN S ON P.k = S.k")
+def table_members(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = _table(spark, sf_dir).members(LIST)
+    return spark.createDataFrame([(i, k, m) for i, (k, m) in enumerate(zip(LIST, found))], "ordinal int, k bigint, member boolean")
+
+
+@query("table_single_lookups", f"{RESOLVED}, P AS (SELECT unnest([0, 3, 100000000]) AS k) SELECT P.k, S.k IS NOT NULL AS member, v FROM P LEFT JOIN S ON P.k = S.k")
+def table_single_lookups(spark: SparkSession, sf_dir: str) -> DataFrame:
+    table = _table(spark, sf_dir)
+    return spark.createDataFrame([(k, table.member(k), table.lookup(k).value) for k in (0, 3, 100_000_000)], "k int, member boolean, v bigint")
+
+
+@query("table_lookup_frame", _LOOKED + "ordinal, K.k, S.k IS NOT NULL AS found, v FROM K LEFT JOIN S ON K.k = S.k")
+def table_lookup_frame(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Many keys as a DataFrame."""
+    return _table(spark, sf_dir, 3).lookup_frame(_keys(spark, sf_dir)).select("ordinal", "k", "found", "v")
+
+
+@query("table_range_lookup", "SELECT o_orderkey AS k, CAST(round(o_totalprice * 100) AS BIGINT) AS v FROM orders WHERE o_orderkey >= 40 AND o_orderkey <= 90")
+def table_range_lookup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    table = Table(Session.open(spark, session_root(spark)))
+    table.updates(orders_log(spark, sf_dir).select(F.col("seq").alias("ordinal"), "k", "op", "v", F.lit(None).cast("binary").alias("blob")))
+    return spark.createDataFrame([(e.key, e.value) for e in table.range_lookup(Range(40, 90, True))], "k bigint, v bigint")
+
+
+_CHANGES = [(1, "I", 11, "a"), (2, "I", 12, None), (1, "U", 5, None), (3, "U", 6, None), (4, "D", None, None), (5, "D", None, None), (1_000_007, "I", 1, "z"), (6, "U", 2, None), (7, "I", 3, "c"), (8, "D", None, None)]
+
+
+@query("table_updates_by_method", f"WITH {EVENTS_LOG}, M AS (SELECT * FROM L UNION ALL SELECT * FROM (VALUES {_values(_CHANGES)}) t(k, seq, op, v, blob)), {state_sql('S', 'M')} SELECT k, v, blob FROM S")
+def table_updates_by_method(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """inserts, upsert, upserts, deletes, insert, update and delete, one after another; they wait in the buffer."""
+    table = _table(spark, sf_dir)
+    table.inserts([(1, 11, b"a"), (2, 12)])
+    table.upsert(1, 5)
+    table.upserts([(3, 6)])
+    table.deletes([4, 5])
+    table.insert(1_000_007, 1, b"z")
+    table.update(6, Upsert(2))
+    table.updates([(7, Insert(3, b"c"))])
+    table.delete(8)
+    return _shown(table)
+
+
+@query("write_buffer_flushed", f"SELECT k, v, blob, 0 AS held FROM (WITH {EVENTS_LOG}, M AS (SELECT * FROM L UNION ALL SELECT * FROM (VALUES {_values(_CHANGES)}) t(k, seq, op, v, blob)), {state_sql('S', 'M')} SELECT k, v, blob FROM S)")
+def write_buffer_flushed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A buffer of five entries becomes a run twice."""
+    table = _table(spark, sf_dir, config=TableConfig(write_buffer=5, merge_batch=5))
+    for k, op, v, b in _CHANGES:
+        table.update(k, Insert(v, b and b.encode()) if op == "I" else Upsert(v) if op == "U" else Delete())
+    return _shown(table).withColumn("held", F.lit(len(table.content.buffer)))
+
+
+def _small_batches(spark: SparkSession, sf_dir: str, schedule: str) -> Table:
+    """The first events, ten to a batch, and the others behind them."""
+    table = Table(Session.open(spark, session_root(spark)), INT64, "bigint", SUM, TableConfig(write_buffer=10, merge_batch=10, merge_schedule=schedule))
+    first = events_log(spark, sf_dir).where("seq < 200").orderBy("seq").collect()
+    change = {"I": lambda r: Insert(r["v"], r["blob"] and r["blob"].encode()), "U": lambda r: Upsert(r["v"]), "D": lambda r: Delete()}
+    for at in range(0, len(first), 10):
+        table.updates([(r["k"], change[r["op"]](r)) for r in first[at : at + 10]])
+    table.updates(_log_rows(spark, sf_dir, "seq >= 200"))
+    return table
+
+
+_LEVELS = "SELECT k, v, blob, true AS few_runs FROM ("
+
+
+@query("levels_one_shot", f"{_LEVELS}{RESOLVED} SELECT k, v, blob FROM S)")
+def levels_one_shot(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Twenty runs of ten entries and a large one: levels merge at once, and the state stays."""
+    table = _small_batches(spark, sf_dir, "one_shot")
+    return _shown(table).withColumn("few_runs", F.lit(len(table.content.runs) <= 8))
+
+
+@query("levels_incremental", f"{_LEVELS}{RESOLVED} SELECT k, v, blob FROM S)")
+def levels_incremental(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same where merges wait for credits."""
+    table = _small_batches(spark, sf_dir, "incremental")
+    table.supply_merge_credits(1_000_000)
+    return _shown(table).withColumn("few_runs", F.lit(len(table.content.runs) <= 8))
+
+
+# Blobs, wherever their entries have gone
+
+
+@query("blob_after_compact", f"{RESOLVED} SELECT k, blob FROM S")
+def blob_after_compact(spark: SparkSession, sf_dir: str) -> DataFrame:
+    table = _table(spark, sf_dir, 3)
+    table.compact()
+    return _shown(table).select("k", "blob")
+
+
+@query("blob_after_reopen", f"{RESOLVED} SELECT k, blob FROM S")
+def blob_after_reopen(spark: SparkSession, sf_dir: str) -> DataFrame:
+    table = _table(spark, sf_dir, 2)
+    snapshot.save_snapshot(table, "kept", "events by user")
+    table.session.close()
+    again = Session.restore(spark, table.session.root)
+    return _shown(snapshot.open_table_from_snapshot(again, "kept", "events by user")).select("k", "blob")
+
+
+@query("blob_of_union", f"SELECT k, blob FROM ({union_sql(2)})")
+def blob_of_union(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _shown(union.unions(_union_tables(spark, sf_dir))).select("k", "blob")
+
+
+@query("blob_references", f"{RESOLVED} SELECT k, blob FROM S WHERE k < 40 AND blob IS NOT NULL")
+def blob_references(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """retrieve_blobs with a list of references."""
+    table = _table(spark, sf_dir, 2)
+    entries = [e for e in table.range_lookup(Range(0, 40)) if e.blob]
+    return spark.createDataFrame([(e.key, b.decode()) for e, b in zip(entries, table.retrieve_blobs([e.blob for e in entries]))], "k bigint, blob string")
+
+
+# Unions of handles
+
+
+@query("unions_of_tables", union_sql(2))
+def unions_of_tables(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All work done now: the union has become runs."""
+    out = union.unions(_union_tables(spark, sf_dir))
+    if out.content.union is not None:
+        raise AssertionError("the union was not folded into the levels")
+    return _shown(out)
+
+
+@query("union_migrated_then_updated", f"SELECT k, v + CASE WHEN k < 50 THEN 100 ELSE 0 END AS v FROM ({union_sql(2)}) UNION ALL SELECT x, 100 FROM (SELECT unnest(range(50)) AS x) WHERE x NOT IN (SELECT k FROM ({union_sql(2)}))")
+def union_migrated_then_updated(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = union.incremental_unions(_union_tables(spark, sf_dir))
+    out.upserts([(k, 100) for k in range(50)])
+    union.supply_union_credits(out, union.remaining_union_debt(out))
+    out.compact()
+    return out.state().select("k", "v")
+
+
+@query("union_of_one", f"{RESOLVED} SELECT k, v, blob FROM S")
+def union_of_one(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _shown(union.unions([_table(spark, sf_dir)]))
+
+
+@query("union_hot_keys", union_sql(2))
+def union_hot_keys(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Parts whose hot keys are summed up where they lie."""
+    log = events_log(spark, sf_dir)
+    halves = [log.where(F.col("seq") % 2 == i) for i in range(2)]
+    return union_state([level_state(x, SUM, hot_keys(x, 100)) for x in halves], SUM).select("k", "v", "blob")
+
+
+@query("compact_hot_keys", f"{RESOLVED} SELECT k, v, blob FROM S")
+def compact_hot_keys(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The newer half merged with its hot keys on a plan of their own."""
+    log = events_log(spark, sf_dir)
+    half = (log.agg(F.max("seq")).first()[0] or 0) // 2
+    newer = log.where(F.col("seq") > half)
+    return level_state(log.where(F.col("seq") <= half).unionByName(merged_log(newer, SUM, hot=hot_keys(newer, 100))), SUM).select("k", "v", "blob")
+
+
+@query("compact_hot_keys_in_order", f"WITH {EVENTS_LOG}, {state_sql('S', 'L', 'concat')} SELECT k, v, blob FROM S")
+def compact_hot_keys_in_order(spark: SparkSession, sf_dir: str) -> DataFrame:
+    log = events_log(spark, sf_dir).withColumn("v", F.col("v").cast("string"))
+    return level_state(merged_log(log, concat(" "), hot=hot_keys(log, 100)), concat(" ")).select("k", "v", "blob")
+
+
+# Cursors from their handles
+
+
+@query("cursor_next", _ORDERED % 0 + " WHERE ordinal <= 3")
+def cursor_next(spark: SparkSession, sf_dir: str) -> DataFrame:
+    with Cursor(_table(spark, sf_dir)) as cursor:
+        rows = [e for _ in range(3) if (e := cursor.next())]
+    return spark.createDataFrame([(i + 1, e.key, e.value) for i, e in enumerate(rows)], "ordinal bigint, k bigint, v bigint")
+
+
+@query("cursor_take_while_keys", _ORDERED % 2 + " WHERE k < 20 AND ordinal <= 12")
+def cursor_take_while_keys(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """take_while on the key, with a bound on the number."""
+    rows = Cursor(_table(spark, sf_dir), 2).take_while(12, lambda k: k < 20)
+    return spark.createDataFrame([(i + 1, e.key, e.value) for i, e in enumerate(rows)], "ordinal bigint, k bigint, v bigint")
+
+
+# Snapshots and sessions from their handles
+
+
+@query("snapshot_listing", "SELECT 'one' AS name, false AS listed, false AS there UNION ALL SELECT 'two', true, true UNION ALL SELECT 'three', false, false")
+def snapshot_listing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    table = _table(spark, sf_dir)
+    session = table.session
+    for name in ("one", "two"):
+        snapshot.save_snapshot(table, name, "events")
+    snapshot.delete_snapshot(session, "one")
+    names = snapshot.list_snapshots(session)
+    return spark.createDataFrame([(n, n in names, snapshot.does_snapshot_exist(session, n)) for n in ("one", "two", "three")], "name string, listed boolean, there boolean")
+
+
+@query("session_scopes", f"{RESOLVED} SELECT k, v, blob FROM S")
+def session_scopes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A new session, closed behind its scope; then one that restores it."""
+    root = session_root(spark)
+    with Session.new(spark, root) as session, Table(session, INT64, "bigint", SUM) as table:
+        table.updates(_log_rows(spark, sf_dir))
+        with table.duplicate() as other:
+            snapshot.save_snapshot(other, "kept", "events")
+    return _shown(snapshot.open_table_from_snapshot(Session.restore(spark, root), "kept", "events"))
+
+
+@query("snapshot_of_union", union_sql(2))
+def snapshot_of_union(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A union that is half paid, reopened."""
+    out = union.incremental_unions(_union_tables(spark, sf_dir))
+    union.supply_union_credits(out, union.remaining_union_debt(out) // 2)
+    snapshot.save_snapshot(out, "half", "union")
+    out.session.close()
+    return _shown(snapshot.open_table_from_snapshot(Session.restore(spark, out.session.root), "half", "union"))
+
+
+@query("simple_table", f"WITH {EVENTS_LOG}, N AS (SELECT k, seq, CASE WHEN op = 'D' THEN 'D' ELSE 'I' END AS op, v, NULL AS blob FROM L WHERE seq < 300), {state_sql('S', 'N', 'first')} SELECT k, v FROM S")
+def simple_table(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Inserts and deletes of plain values, through the simple handle and its cursor."""
+    table = simple.SimpleTable(Session.open(spark, session_root(spark)))
+    rows = events_log(spark, sf_dir).where("seq < 300").orderBy("seq").collect()
+    table.updates([(r["k"], None if r["op"] == "D" else r["v"]) for r in rows])
+    with table.cursor() as cursor:
+        return spark.createDataFrame(cursor.take(10_000), "k bigint, v bigint")
+
+
+@query("streamed_updates", f"{RESOLVED} SELECT k, v, blob FROM S")
+def streamed_updates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """events as a stream of files into a table."""
+    table = Table(Session.open(spark, session_root(spark)), INT64, "bigint", SUM)
+    schema = spark.read.parquet(f"{sf_dir}/events.parquet").schema
+    source = spark.readStream.schema(schema).parquet(f"{sf_dir}/events.parque[t]")
+    log = as_log(source).select(F.col("seq").alias("ordinal"), "k", "op", "v", F.col("blob").cast("binary").alias("blob"))
+    _, name = table.session.fresh("stream")
+    ingest(log, table).option("checkpointLocation", f"{table.session.root}/active/{name}").trigger(availableNow=True).start().awaitTermination()
+    return _shown(table)
+
+
+LAWS = ["key identity", "key identity up to slicing", "key order", "value identity", "value identity up to slicing", "pack slice", "resolve associativity", "resolve compatibility", "resolve valid output"]
+
+
+@query("laws", " UNION ALL ".join(f"SELECT '{x}' AS law, true AS holds" for x in LAWS))
+def laws_hold(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The nine laws on user numbers, names and event values of the data."""
+    users = [r[0] for r in spark.read.parquet(f"{sf_dir}/events.parquet").select("user_id").distinct().orderBy("user_id").limit(30).collect()]
+    users += [-1, -(2**63), 2**63 - 1]
+    names = [r[0] for r in spark.read.parquet(f"{sf_dir}/customer.parquet").select("c_name").orderBy("c_name").limit(20).collect()] + ["", "\u00e9"]
+    raw = [n.encode() for n in names]
+    holds = [
+        laws.key_identity(spark, INT64, users) and laws.key_identity(spark, UTF8, names),
+        laws.key_identity_up_to_slicing(spark, INT64, users) and laws.key_identity_up_to_slicing(spark, UTF8, names),
+        laws.key_order(spark, INT64, users) and laws.key_order(spark, UTF8, names),
+        laws.value_identity(spark, INT64, users) and laws.value_identity(spark, BYTES, list(map(bytearray, raw))),
+        laws.value_identity_up_to_slicing(spark, INT64, users) and laws.value_identity_up_to_slicing(spark, UTF8, names),
+        laws.pack_slice(spark, list(zip(raw, raw[1:], raw[2:]))),
+        laws.resolve_associativity(spark, SUM, users[:4], "bigint") and laws.resolve_associativity(spark, concat("-"), names[:3], "string"),
+        laws.resolve_compatibility(spark, FIRST, users, INT64) and laws.resolve_compatibility(spark, MAX, [1, -5, 9], INT32),
+        laws.resolve_valid_output(spark, concat(""), names, UTF8) and laws.resolve_valid_output(spark, SUM, users[:9], INT64),
+    ]
+    return spark.createDataFrame(list(zip(LAWS, holds)), "law string, holds boolean")

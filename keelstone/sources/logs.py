@@ -11,7 +11,11 @@ def events_log(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     Values are whole cents, so that sums are exact.
     """
-    e = spark.read.parquet(f"{sf_dir}/events.parquet")
+    return as_log(spark.read.parquet(f"{sf_dir}/events.parquet"))
+
+
+def as_log(e: DataFrame) -> DataFrame:
+    """The rows of ``events``, a table or a stream, as a change log."""
     kind = F.col("event_type")
     op = F.when(kind == "error", "D").when(kind.isin("signup", "purchase"), "I").otherwise("U")
     return e.select(

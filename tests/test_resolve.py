@@ -7,7 +7,8 @@ from pyspark.sql import functions as F
 
 from keelstone.functions import laws, resolvers
 from keelstone.functions.codecs import BYTES, CODECS, INT8, INT64, UTF8, WORD8, WORD64
-from keelstone.plans.resolve import hot_keys, level_state, merged_log, union_state
+from keelstone.plans import resolve
+from keelstone.plans.resolve import hot_keys, level_state, lookups, merged_log, union_state
 from tests.model import Model
 
 LOG = "k bigint, seq bigint, op string, v string, blob string"
@@ -104,7 +105,17 @@ def test_ranges_follow_the_bytes(spark):
             assert got == [x for x in sorted(keys) if unsigned(lo) <= unsigned(x) and (unsigned(x) < unsigned(hi) or inclusive and x == hi)]
 
 
+@pytest.mark.parametrize("name", CODECS)
+def test_slicing_and_value_laws(spark, name):
+    keys = [Decimal(k) for k in KEYS[name]] if name == "word64" else KEYS[name]
+    assert laws.key_identity_up_to_slicing(spark, CODECS[name], keys)
+    assert laws.value_identity(spark, CODECS[name], keys) and laws.value_identity_up_to_slicing(spark, CODECS[name], keys)
+
+
 def test_resolver_laws(spark):
+    assert laws.pack_slice(spark, [(b"", b"", b""), (b"a", b"\x00\xff", b"z"), (b"xy", b"q", b"")])
+    assert laws.resolve_valid_output(spark, resolvers.SUM, [1, -4, 9], INT64) and laws.resolve_compatibility(spark, resolvers.MAX, [1, -4, 9], INT64)
+    assert not laws.resolve_valid_output(spark, resolvers.fold("none", lambda new, old: F.nullif(new, new)), [1, 2], INT64)
     assert laws.resolve_associativity(spark, resolvers.concat("-"), ["a", "b"], "string")
     assert laws.resolve_associativity(spark, resolvers.FIRST, ["a", "b"], "string")
     assert not laws.resolve_associativity(spark, resolvers.fold("minus", lambda new, old: new - old), [1, 2, 4], "bigint")
@@ -115,8 +126,40 @@ def test_resolver_laws(spark):
 def test_plans_push_bounds_and_keys_down(spark, tmp_path):
     spark.range(1000).selectExpr("id AS k", "id AS seq", "'I' AS op", "id AS v", "CAST(NULL AS STRING) AS blob").write.parquet(str(tmp_path / "log"))
     log = spark.read.parquet(str(tmp_path / "log"))
-    plan = level_state(log, resolvers.SUM).where("k >= 3 AND k <= 5")._jdf.queryExecution().executedPlan().toString()
-    assert plan.count("GreaterThanOrEqual(k,3)") >= 2
+    plan = lambda df: df._jdf.queryExecution().executedPlan().toString()
+    assert "GreaterThanOrEqual(k,3)" in plan(level_state(log, resolvers.SUM).where("k >= 3 AND k <= 5"))
+    # A state takes one exchange and one scan of the log, whatever the resolver.
+    for resolver in (resolvers.SUM, resolvers.FIRST, resolvers.concat(" ")):
+        text = log.withColumn("v", F.col("v").cast("string")) if resolver.name.startswith("concat") else log
+        for df in (level_state(text, resolver), merged_log(text, resolver)):
+            assert plan(df).count("Exchange hashpartitioning") == 1 and plan(df).count("FileScan") == 1
+    # Looked-up keys reach the scan as a list; the log itself isn't shuffled or joined to find them.
+    keys = spark.createDataFrame([(0, 7), (1, 8)], "ordinal int, k bigint")
+    few = plan(lookups(log, keys, resolvers.SUM))
+    assert "PushedFilters: [IsNotNull(k), In(k, [7,8])" in few or "Or(EqualTo(k,7),EqualTo(k,8))" in few or "In(k, [7,8])" in few
+    assert "LeftSemi" not in few
+
+
+def test_lookups_by_list_broadcast_and_shuffle_agree(spark, monkeypatch):
+    log = spark.createDataFrame([(i % 50, i, "IUD"[i % 3], str(i), None) for i in range(600)], LOG)
+    keys = spark.createDataFrame([(i, i % 70) for i in range(140)] + [(999, None)], "ordinal int, k bigint")
+    want = sorted(map(str, lookups(log, keys, resolvers.concat(" ")).collect()))
+    for listed, broadcast in ((3, 10**6), (3, 1)):
+        monkeypatch.setattr(resolve, "LISTED", listed)
+        monkeypatch.setattr(resolve, "BROADCAST", broadcast)
+        assert sorted(map(str, lookups(log, keys, resolvers.concat(" ")).collect())) == want
+
+
+def test_merging_with_hot_keys_changes_nothing(spark):
+    rnd = random.Random(2)
+    rows = [(0 if rnd.random() < 0.4 else rnd.randrange(40), i * 7, rnd.choices("IUD", [3, 9, 1])[0], f"v{i}", None) for i in range(900)]
+    df = spark.createDataFrame([(k, s, op, None if op == "D" else v, f"b{s}" if op == "I" else None) for k, s, op, v, _ in rows], LOG)
+    older, newer = df.where("seq < 3000"), df.where("seq >= 3000")
+    for resolver in (resolvers.concat(" "), resolvers.MAX, resolvers.FIRST):
+        want = rows_of(level_state(df, resolver))
+        for hot in (None, [0, 3], hot_keys(newer, 10)):
+            assert rows_of(level_state(older.unionByName(merged_log(newer, resolver, hot=hot)), resolver, hot)) == want
+            assert rows_of(merged_log(df, resolver, last_level=True, hot=hot)) == want
 
 
 assert {INT8.name, WORD8.name, WORD64.name, UTF8.name, BYTES.name} <= set(CODECS)

@@ -140,13 +140,15 @@ def test_snapshots(spark, session):
         snapshot.import_snapshot(session, "three", out + "-none")
     assert snapshot.list_snapshots(session) == ["one", "two"] and snapshot.does_snapshot_exist(session, "two")
     # One flipped bit anywhere is found.
-    part = f"{session.root}/snapshots/two/run-0"
-    name = next(iter(session.files.sums(part)))
-    data = bytearray(session.files.read(f"{part}/{name}"))
+    part = session.run_path(t.content.runs[0].name)
+    name = next(n for n in session.files.names(part) if n.startswith("part-"))
+    whole = session.files.read(f"{part}/{name}")
+    data = bytearray(whole)
     data[len(data) // 2] ^= 4
     session.files.write(f"{part}/{name}", bytes(data), overwrite=True)
     with pytest.raises(errors.SnapshotCorruptedError):
         snapshot.open_table_from_snapshot(session, "two", "words")
+    session.files.write(f"{part}/{name}", whole, overwrite=True)
     snapshot.delete_snapshot(session, "two")
     with pytest.raises(errors.SnapshotDoesNotExistError):
         snapshot.delete_snapshot(session, "two")
@@ -195,9 +197,11 @@ def test_sessions_and_closed_handles(spark):
 def test_a_cut_run_is_an_error(session):
     t = text_table(session)
     t.insert(1, "one")
-    run = t.content.runs[0].path
-    for name in session.files.sums(run):
-        session.files.write(f"{run}/{name}", b"cut", overwrite=True)
+    t.flush()
+    run = session.run_path(t.content.runs[0].name)
+    for name in session.files.names(run):
+        if name.startswith("part-"):
+            session.files.write(f"{run}/{name}", b"cut", overwrite=True)
     with pytest.raises(errors.TableCorruptedError):
         t.lookup(1)
 
@@ -228,6 +232,135 @@ def test_settings(session):
     assert len(t.content.runs) < 4 and shown(t) == [(0, 4), (1, 5), (2, 2), (3, 3)]
 
 
+def test_bloom_settings():
+    assert TableConfig(bloom="bits:10").false_positives() == pytest.approx(0.0085, abs=2e-4)
+    assert TableConfig(bloom="bits:16").write_options()["parquet.bloom.filter.fpp#k"] < TableConfig(bloom="bits:8").write_options()["parquet.bloom.filter.fpp#k"]
+    for bad in ("bits:", "bits:-3", "bits:0", "10", "rate:9", "bits:x"):
+        with pytest.raises(ValueError):
+            TableConfig(bloom=bad)
+
+
+@pytest.mark.parametrize("schedule", ["one_shot", "incremental"])
+def test_levels_keep_runs_few_and_the_state(session, schedule):
+    """Forty runs of three entries: level one holds fewer than twice four, and so does each above it."""
+    t = text_table(session, config=TableConfig(write_buffer=3, merge_batch=3, merge_schedule=schedule))
+    m = Model(lambda new, old: f"{new} {old}")
+    most = 0
+    for i in range(40):
+        batch = [((5 * i + j) % 23, "IUD"[(i + j) % 3], f"{i}.{j}" if (i + j) % 3 < 2 else None, None) for j in range(3)]
+        t.updates([(k, Insert(v) if op == "I" else Upsert(v) if op == "U" else Delete()) for k, op, v, _ in batch])
+        m.apply(batch)
+        most = max(most, len(t.content.runs))
+        levels = [t.level(r) for r in t.content.runs]
+        assert all(levels.count(x) < (4 if schedule == "one_shot" else 8) for x in levels)
+    assert most <= (9 if schedule == "one_shot" else 16) and not t.content.buffer
+    assert shown(t) == [(k, v) for k, v, _ in m.sorted()]
+    t.supply_merge_credits(10**6)
+    assert not t.due() and shown(t) == [(k, v) for k, v, _ in m.sorted()]
+    # The last level has dropped deletes.
+    t.compact()
+    assert len(t.content.runs) == 1 and t.read_runs(t.content.runs).where("op <> 'I'").isEmpty()
+
+
+def test_the_buffer_is_part_of_every_copy(session):
+    t = text_table(session)
+    t.inserts([(1, "a", b"one"), (2, "b")])
+    assert not t.content.runs and len(t.content.buffer) == 2
+    d, c = t.duplicate(), Cursor(t)
+    u = union.incremental_union(t, d)
+    t.upsert(1, "c")
+    t.flush()
+    t.flush()
+    assert len(t.content.runs) == 1 and not t.content.buffer
+    assert shown(t) == [(1, "c a"), (2, "b")] and shown(d) == [(1, "a"), (2, "b")] == [(e.key, e.value) for e in c.take(9)]
+    assert shown(u) == [(1, "a a"), (2, "b b")] and u.retrieve_blobs([u.lookup(1).blob]) == [b"one"]
+    with pytest.raises(Exception):
+        t.insert("no number", "x")
+    assert shown(t) == [(1, "c a"), (2, "b")]
+
+
+def test_a_lookup_opens_only_the_runs_that_may_hold_the_key(session):
+    t = text_table(session)
+    for at in (0, 100, 200):
+        t.inserts([(at + i, f"v{at + i}") for i in range(5)])
+        t.flush()
+    assert [len(t.log(keys=[k]).inputFiles()) for k in (2, 101, 50)] == [1, 1, 0]
+    assert [r.value for r in t.lookups([2, 101, 50, 204, 2])] == ["v2", "v101", None, "v204", "v2"]
+
+
+def test_blobs_are_never_null(session):
+    a = text_table(session)
+    a.inserts([(i, f"v{i}", b"%d" % i if i % 2 else None) for i in range(6)])
+    a.flush()
+    a.insert(9, "v9", b"nine")
+    b = text_table(session)
+    b.inserts([(1, "w", b"other"), (20, "w", b"twenty")])
+    u = union.unions([a, b])
+    want = [(1, b"1"), (3, b"3"), (5, b"5"), (9, b"nine")]
+    seen = lambda t: sorted((r["k"], bytes(r["bytes"])) for r in t.with_blobs().where("blob IS NOT NULL").collect())
+    assert seen(a) == want and seen(u) == [*want, (20, b"twenty")]
+    a.compact()
+    assert seen(a) == want
+    snapshot.save_snapshot(u, "u", "words")
+    assert seen(snapshot.open_table_from_snapshot(session, "u", "words")) == [*want, (20, b"twenty")]
+    assert {r["bytes"] for r in a.with_blobs().where("blob IS NULL").collect()} == {None}
+    lost = a.state()
+    from keelstone.operators.table import blob_frame
+
+    with pytest.raises(Exception, match="no blob"):
+        blob_frame(session, lost, []).collect()
+
+
+def test_runs_are_shared_and_swept(spark):
+    root = session_root(spark)
+    with Session.open(spark, root) as s:
+        t = text_table(s)
+        t.inserts([(i, f"v{i}", b"x") for i in range(4)])
+        snapshot.save_snapshot(t, "one", "words")
+        snapshot.save_snapshot(t, "two", "words")
+        kept = {t.content.runs[0].name, *(f"{b}.blobs" for b in t.content.blobs)}
+        t.insert(9, "later")
+        t.flush()
+        assert len(s.files.names(f"{root}/runs")) == len(kept) + 1
+    assert set(s.files.names(f"{root}/runs")) == kept
+    with Session.restore(spark, root) as s:
+        snapshot.delete_snapshot(s, "one")
+        other = snapshot.open_table_from_snapshot(s, "two", "words")
+        assert shown(other) == [(i, f"v{i}") for i in range(4)]
+        snapshot.delete_snapshot(s, "two")
+        assert shown(other) == [(i, f"v{i}") for i in range(4)]
+    assert s.files.names(f"{root}/runs") == []
+
+
+def test_a_lock_of_a_dead_process_is_taken_over(spark):
+    import json
+    import socket
+
+    root = session_root(spark)
+    Session.open(spark, root).close()
+    files = Session.open(spark, root).files
+    files.write(f"{root}/lock", json.dumps({"host": socket.gethostname(), "pid": 2**31 - 7, "key": "old"}).encode(), overwrite=True)
+    with Session.open(spark, root):
+        with pytest.raises(errors.SessionDirLockedError):
+            Session.open(spark, root)
+    files.write(f"{root}/lock", json.dumps({"host": "elsewhere", "pid": 1, "key": "old"}).encode(), overwrite=True)
+    with pytest.raises(errors.SessionDirLockedError):
+        Session.open(spark, root)
+
+
+def test_cursor_pages_read_few_files(session):
+    t = Table(session, INT64, "bigint", SUM)
+    t.updates(session.spark.range(4000).selectExpr("id ordinal", "id - 2000 k", "'I' op", "id v", "CAST(NULL AS binary) blob"))
+    c = Cursor(t)
+    keys = [*range(2000), *range(-2000, 0)]
+    got = [e.key for e in c.take(1500)]
+    left = len(c._files)
+    while rows := c.take(900):
+        got += [e.key for e in rows]
+        assert len(c._files) <= left
+    assert got == keys and c.frame().count() == 0
+
+
 @pytest.mark.parametrize("seed", [1, 2])
 def test_random_actions_against_the_model(session, seed):
     """Batches, duplicates, unions, merges and payments in random order, all tables compared at the end."""
