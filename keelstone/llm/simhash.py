@@ -11,9 +11,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from xxhash import xxh64_intdigest
 
+from keelstone.llm import jaccard
 from keelstone.llm.common import as_table, documents, map_batches, utf8
 from keelstone.llm.components import components
-from keelstone.llm.jaccard import least_rows, text_key
+from keelstone.llm.jaccard import SHINGLE, SIMILARITY, checked, least_rows, text_key
 
 RADIUS = 3
 #: A group of more fingerprints than this is dealt out as several shard trees.
@@ -226,17 +227,42 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     return prints.join(of, "fp").select(F.col("id").alias(id_col), F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
-def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """docs without near-duplicates: of each component the row of least id stays.
+def fingerprint_pairs(texts: DataFrame, shingle: int, radius: int = RADIUS) -> DataFrame:
+    """Pairs (a, b) of text keys that join all texts whose fingerprints the radius joins; texts: (k, text binary)."""
 
-    Rows are judged by their texts: of rows with one id, those stay whose texts
-    are in components without a smaller id. Rows with a null id all stay here;
-    the pipeline's ``jaccard.keep_one`` judges these by their texts too.
+    def run(t: pa.Table) -> pa.Table:
+        fp = np.fromiter((fingerprint(x, shingle) for x in t["text"].to_pylist()), np.uint64, t.num_rows)
+        return pa.table({"k": t["k"], "fp": fp.view(np.int64)})
+
+    prints = as_table(map_batches(texts, run, "k long, fp long").distinct(), "text-prints")
+    least = as_table(prints.groupBy("fp").agg(F.min("k").alias("a")), "least-keys")
+    equal = prints.join(least, "fp").where("k <> a").select("a", F.col("k").alias("b"))
+    between = as_table(links(least.select("fp"), radius).toDF("x", "y"), "print-links")
+    one, other = least.select(F.col("fp").alias("x"), "a"), least.select(F.col("fp").alias("y"), F.col("a").alias("b"))
+    return equal.unionByName(between.join(one, "x").join(other, "y").select("a", "b"))
+
+
+def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = SHINGLE, similarity: float = SIMILARITY) -> DataFrame:
+    """docs without near-duplicates: one row of each component of similar texts.
+
+    Two texts are linked if the Jaccard similarity of their sets of word
+    shingles is ``similarity`` or more. Fingerprints of these shingles that
+    BK-trees find within RADIUS bits show most links of a large group, and are
+    checked exactly. As 64 bits don't show all pairs of that similarity, texts
+    that are still apart are compared where they share a rare shingle (see
+    ``jaccard.links``), so that no link is lost.
+
+    The row of least id stays, null ids last, then that of least text key; of
+    rows equal in both, any one. Rows are judged by their texts alone, so null
+    and repeated ids do no harm. Null, empty and blank texts are similar to
+    each other and to no other text. Texts are told apart by 64 bits of their
+    digest. An empty table gives an empty result; no other column is looked at.
     """
-    known = docs.where(F.col(id_col).isNotNull())
-    texts = known.select(text_key(F.col(text_col)).alias("node"), F.col(text_col).alias("text"))
-    roots = near_duplicates(texts, "node", "text").select("node", F.col("component_id").alias("root")).distinct()
-    return least_rows(known, roots, id_col, text_col).unionByName(docs.where(F.col(id_col).isNull()))
+    texts = docs.select(text_key(F.col(text_col)).alias("k"), utf8(text_col).alias("text"))
+    known = checked(as_table(fingerprint_pairs(texts, shingle), "print-pairs"), texts, shingle, similarity)
+    roots = components(as_table(known, "known"), "known-components")
+    found = as_table(jaccard.links(docs, as_table(roots, "known-roots"), text_col, shingle, similarity), "similar")
+    return least_rows(docs, components(found, "similar-components"), id_col, text_col)
 
 
 def op8_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
