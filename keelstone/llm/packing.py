@@ -169,7 +169,8 @@ def pack(
     numbered within (length, slice), a slice being a share of a length by hash,
     so that no length, however common, is ordered in one task.
 
-    A null text is an empty document, one END_ID; null ids and repeated rows
+    A null text is an empty document, one END_ID; a text of any length is
+    encoded as a whole in the task that holds it; null ids and repeated rows
     are documents like others; an empty table gives an empty result; columns
     besides the two named are ignored. Reruns give each piece the same place.
     """

@@ -106,12 +106,11 @@ def fit(rows: list[tuple[bytes, int]]) -> Evidence:
 def labelled(docs: DataFrame, labels: DataFrame, id_col: str, text_col: str) -> list[tuple[bytes, int]]:
     """At most TRAIN_DOCS labelled (text, good) pairs, chosen by a hash of the id; good: of quality and not toxic."""
     good = labels.where(F.col(id_col).isNotNull() & F.col("quality").isNotNull()).groupBy(id_col).agg(F.min(((F.col("quality") == 1) & (F.coalesce("toxic", F.lit(0)) == 0)).cast("int")).alias("_good"))
-    chosen = good.orderBy(F.xxhash64(id_col), id_col).limit(TRAIN_DOCS)
-    names = {r[id_col]: r["_good"] for r in chosen.collect()}
-    if not names:
-        return []
-    texts = docs.where(F.col(id_col).isin(list(names)) & F.length(text_col).between(1, TRAIN_CHARS)).select(F.col(id_col).alias("id"), utf8(text_col).alias("text"))
-    return [(bytes(r["text"]), names[r["id"]]) for r in sorted(texts.collect(), key=lambda r: (r["id"], bytes(r["text"])))]
+    # At most TRAIN_DOCS ids.
+    chosen = F.broadcast(good.orderBy(F.xxhash64(id_col), id_col).limit(TRAIN_DOCS).select(F.col(id_col).alias("id"), F.col("_good").alias("good")))
+    texts = docs.where(F.length(text_col).between(1, TRAIN_CHARS)).select(F.col(id_col).alias("id"), utf8(text_col).alias("text"))
+    rows = texts.join(chosen, "id").collect()
+    return [(bytes(r["text"]), r["good"]) for r in sorted(rows, key=lambda r: (r["id"], bytes(r["text"])))]
 
 
 def _weight(groups: DataFrame, rate: Column, prior: Column, n: Column) -> float:
@@ -150,7 +149,8 @@ def classify(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_co
     towards the level above, give each path its rate; the posterior takes that
     rate's odds as the document's prior. kept: LEAST or more.
 
-    A null text has the evidence of an empty one; null hosts and paths are a
+    A null text has the evidence of an empty one; a text of any length is read
+    as a whole; null hosts and paths are a
     host and a path of their own; null ids and repeated rows are judged like
     others; without labels there is no evidence and every rate is one half; an
     empty table gives an empty result. Other columns are ignored.

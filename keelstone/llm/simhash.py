@@ -127,9 +127,18 @@ def masks(count: int, radius: int = RADIUS) -> list[int]:
     the groups stay small. Every choice is exact.
     """
     k = radius + (1 if count < 1 << 21 else 2 if count < 1 << 30 else 3)
-    cuts = [64 * i // k for i in range(k + 1)]
-    blocks = [((1 << (b - a)) - 1) << a for a, b in zip(cuts, cuts[1:])]
-    return [sum(x) for x in combinations(blocks, k - radius)]
+    return [sum(x) for x in combinations(blocks(list(range(64)), k), k - radius)]
+
+
+def blocks(bits: list[int], k: int) -> list[int]:
+    """Masks of k runs of these bits."""
+    cuts = [len(bits) * i // k for i in range(k + 1)]
+    return [sum(1 << x for x in bits[a:b]) for a, b in zip(cuts, cuts[1:])]
+
+
+def finer(mask: int, radius: int = RADIUS) -> list[int]:
+    """Masks over the bits that ``mask`` leaves out, of which one at least leaves two near values equal."""
+    return blocks([b for b in range(64) if not mask >> b & 1], radius + 1)
 
 
 def signed(x: int) -> int:
@@ -143,12 +152,23 @@ def links(values: DataFrame, radius: int = RADIUS, shard: int = SHARD) -> DataFr
     with a BK-tree of its own. The trees travel to the tasks that hold their
     queries rather than to every executor, as the fingerprints of a whole
     corpus have no size bound that a broadcast could rest on. A group of over
-    ``shard`` values is dealt out as several trees, each of which meets each
-    other one's values in a task of its own.
+    ``shard`` values is told apart by the bits that its mask leaves out: near
+    values agree on one of ``finer``. What is still as large is dealt out as
+    several trees, each of which meets each other one's values in a task of its
+    own.
     """
-    count = values.count()
-    keys = F.array(*[F.struct(F.lit(i).alias("t"), F.col("fp").bitwiseAND(F.lit(signed(m))).alias("key")) for i, m in enumerate(masks(count, radius))])
+    chosen = masks(values.count(), radius)
+    keys = F.array(*[F.struct(F.lit(i).alias("t"), F.col("fp").bitwiseAND(F.lit(signed(m))).alias("key")) for i, m in enumerate(chosen)])
     spread = values.select("fp", F.inline(keys))
+    crowded = spread.groupBy("t", "key").agg(F.count("*").alias("n")).where(F.col("n") > shard).select("t", "key")
+    if not crowded.isEmpty():
+        # Each of a crowded group's values goes to radius + 1 groups, whose keys hold both masks' bits.
+        sub = F.lit(None).cast("array<struct<t:int,key:bigint>>")
+        for i, m in enumerate(chosen):
+            own = [F.struct(F.lit(len(chosen) + i * (radius + 1) + j).alias("t"), F.col("fp").bitwiseAND(F.lit(signed(m | x))).alias("key")) for j, x in enumerate(finer(m, radius))]
+            sub = F.when(F.col("t") == i, F.array(*own)).otherwise(sub)
+        apart = spread.join(crowded, ["t", "key"], "left_semi").select("fp", F.inline(sub))
+        spread = spread.join(crowded, ["t", "key"], "left_anti").select("fp", "t", "key").unionByName(apart)
     sizes = spread.groupBy("t", "key").agg(F.count("*").alias("n")).where(F.col("n") > 1)
     largest = sizes.agg(F.max("n")).first()[0]
     if largest is None:

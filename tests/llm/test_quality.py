@@ -54,6 +54,44 @@ def test_rates_equal_plain_sums(spark):
         assert got[h, p] == pytest.approx((host[h], (k + host[h] * v) / (n + v)))
 
 
+def test_the_query_against_one_by_one(spark):
+    """Training as the operator does it; evidence, rates, posteriors and verdicts of every document by plain sums."""
+    sf = "/root/testdata/sf0.01"
+    docs, labels = spark.read.parquet(f"{sf}/documents.parquet"), spark.read.parquet(f"{sf}/labels.parquet")
+    model = quality.fit(quality.labelled(docs, labels, "doc_id", "text"))
+    rows = pq.read_table(f"{sf}/documents.parquet").to_pylist()
+    good = {r["doc_id"]: int(r["quality"] == 1 and not r["toxic"]) for r in pq.read_table(f"{sf}/labels.parquet").to_pylist()}
+    base = min(0.99, max(0.01, np.mean(list(good.values()))))
+    sigmoid = lambda x: 1 / (1 + np.exp(-x))
+    odds = lambda p: np.log(p / (1 - p))
+    z = {r["doc_id"]: model.logit((r["text"] or "").encode()) for r in rows}
+    paths, hosts = {}, {}
+    for r in rows:
+        n, k = paths.get((r["source"], r["lang"]), (0, 0))
+        g = good.get(r["doc_id"])
+        paths[r["source"], r["lang"]] = (n + (1 if g is None else 2), k + (sigmoid(z[r["doc_id"]] + odds(base)) if g is None else 2 * g))
+    for (h, _), (n, k) in paths.items():
+        hosts[h] = tuple(np.add(hosts.get(h, (0, 0)), (n, k)))
+
+    def weight(groups):
+        total = sum(n for n, _, _ in groups)
+        spread, noise = sum(n * (r - p) ** 2 for n, r, p in groups) / total, sum(n * p * (1 - p) for n, _, p in groups) / total
+        share = max(1e-9, spread / noise - len(groups) / total) / max(1e-9, 1 - len(groups) / total)
+        return min(500.0, max(5.0, 1 / share - 1))
+
+    w = weight([(n, k / n, base) for n, k in hosts.values()])
+    host = {h: (k + base * w) / (n + w) for h, (n, k) in hosts.items()}
+    v = weight([(n, k / n, host[h]) for (h, _), (n, k) in paths.items()])
+    rate = {p: (k + host[p[0]] * v) / (n + v) for p, (n, k) in paths.items()}
+    got = {r["doc_id"]: r for r in quality.op6_quality(spark, sf).collect()}
+    assert len(got) == len(rows)
+    for r in rows:
+        g, own = got[r["doc_id"]], rate[r["source"], r["lang"]]
+        want = sigmoid(z[r["doc_id"]] + odds(min(0.999, max(0.001, own))))
+        assert (g["evidence"], g["host_rate"], g["path_rate"], g["posterior"]) == pytest.approx((z[r["doc_id"]], host[r["source"]], own, want))
+        assert g["kept"] == (g["posterior"] >= quality.LEAST)
+
+
 def test_sparse_paths_are_shrunk_to_their_host(spark):
     good, bad = " ".join(f"fine{i % 9} prose words" for i in range(30)), "### spam $$$ " * 40
     rows = [(i, good if i % 2 else bad, "clean" if i % 2 else "dirty", "p") for i in range(200)] + [(500, "neutral words here", "clean", "new"), (501, "neutral words here", "dirty", "new")]

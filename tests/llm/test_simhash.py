@@ -106,6 +106,18 @@ def test_large_groups_are_split_without_loss(spark):
         assert len(found) < 4 * 36 * len(values)
 
 
+def test_finer_masks_lose_no_near_pair():
+    rnd = random.Random(1)
+    for m in simhash.masks(1000) + simhash.masks(1 << 25)[:6]:
+        assert all(x & m == 0 for x in simhash.finer(m)) and sum(simhash.finer(m)) == (1 << 64) - 1 - m
+        for _ in range(50):
+            a = rnd.getrandbits(64)
+            b = a
+            for bit in rnd.sample([b for b in range(64) if not m >> b & 1], 3):
+                b ^= 1 << bit
+            assert any(a & x == b & x for x in simhash.finer(m))
+
+
 def test_batched_tree_equals_plain_tree():
     rnd = np.random.default_rng(5)
     x = np.unique(np.concatenate([rnd.integers(0, 1 << 63, 40).astype(np.uint64), np.uint64(77) ^ (np.uint64(1) << rnd.integers(0, 64, 50).astype(np.uint64))]))
