@@ -33,6 +33,10 @@ class Files:
         fs, p = self._at(path)
         fs.delete(p, True)
 
+    def drop_at_exit(self, path: str) -> None:
+        fs, p = self._at(path)
+        fs.deleteOnExit(p)
+
     def rename(self, path: str, to: str) -> bool:
         fs, p = self._at(path)
         return fs.rename(p, self.jvm.org.apache.hadoop.fs.Path(to))

@@ -11,7 +11,7 @@ from keelstone.sources.files import Files
 
 
 def session_root(spark: SparkSession) -> str:
-    """A fresh empty folder below ``spark.checkpoint.dir``, which driver and executors share.
+    """A fresh empty folder below ``spark.checkpoint.dir``, which driver and executors share; it goes with the application.
 
     Where that is unset, a local master gets a temporary folder, and any other
     one a folder in the warehouse.
@@ -23,5 +23,7 @@ def session_root(spark: SparkSession) -> str:
         base = tempfile.mkdtemp(prefix="keelstone-") if local else spark.conf.get("spark.sql.warehouse.dir") + "/_scratch"
         spark.conf.set("spark.checkpoint.dir", base)
     root = f"{base.rstrip('/')}/keelstone/session-{uuid.uuid4().hex}"
-    Files(spark).make(root)
+    files = Files(spark)
+    files.make(root)
+    files.drop_at_exit(root)
     return root
