@@ -3,13 +3,17 @@
 from __future__ import annotations
 
 import tempfile
+import threading
 import uuid
 from collections.abc import Callable, Iterator
+from contextlib import contextmanager
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+_LOCK, _WRITERS, _BEFORE = threading.Lock(), [], []
+
 #: The six ASCII white-space characters that separate words.
 SPACES = " \t\n\x0b\x0c\r"
 #: One or more of them, for Java and DuckDB expressions alike.
@@ -32,6 +36,24 @@ def scratch_dir(spark: SparkSession) -> str:
     return found.rstrip("/")
 
 
+@contextmanager
+def _cleaned(spark: SparkSession) -> Iterator[None]:
+    """Shuffle files go with their query; the setting is put back by the last of several threads that write."""
+    key = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+    with _LOCK:
+        if not _WRITERS:
+            _BEFORE[:] = [spark.conf.get(key)]
+            spark.conf.set(key, "true")
+        _WRITERS.append(key)
+    try:
+        yield
+    finally:
+        with _LOCK:
+            _WRITERS.pop()
+            if not _WRITERS:
+                spark.conf.set(key, _BEFORE[0])
+
+
 def as_table(df: DataFrame, name: str) -> DataFrame:
     """Write df to the shared folder and read it back: lineage ends here.
 
@@ -41,13 +63,8 @@ def as_table(df: DataFrame, name: str) -> DataFrame:
     """
     spark = df.sparkSession
     path = f"{scratch_dir(spark)}/keelstone/{name}-{uuid.uuid4().hex}"
-    key = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
-    before = spark.conf.get(key)
-    spark.conf.set(key, "true")
-    try:
+    with _cleaned(spark):
         df.write.option("compression", "zstd").parquet(path)
-    finally:
-        spark.conf.set(key, before)
     at = spark._jvm.org.apache.hadoop.fs.Path(path)
     at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(at)
     return spark.read.schema(df.schema).parquet(path)

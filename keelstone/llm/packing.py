@@ -9,6 +9,7 @@ from functools import lru_cache
 import numpy as np
 import public_tokenizers
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -17,8 +18,6 @@ from keelstone.llm.common import as_table, documents, map_batches, utf8
 CAPACITY = 1024
 END_ID = 2
 VOCABULARY = "byte_bpe_50k.json"
-#: Pieces of one length that one task numbers at a time, about.
-SLICE = 100_000
 
 
 class ByteBPE:
@@ -123,12 +122,15 @@ def _best_pair(left: np.ndarray, room: int) -> list[int] | None:
 
 
 def pieces(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text", capacity: int = CAPACITY, with_ids: bool = False) -> DataFrame:
-    """A row per piece: id, piece, start, length, ids_crc32 (and ids, if asked for).
+    """A row per piece: id, piece, start, length, ids_crc32, task, turn (and ids, if asked for).
 
     A document is its ids and END_ID; a longer one is cut into pieces of
     capacity ids, of which the first may be shorter. A null text is empty.
+    turn numbers the pieces of a length within the task that makes them.
     """
     kind = docs.schema[id_col].dataType.simpleString()
+    # Every task gets a copy of its own.
+    turns = np.zeros(capacity + 1, np.int64)
 
     def run(t: pa.Table) -> pa.Table:
         bpe, rows = encoder(path), []
@@ -139,15 +141,17 @@ def pieces(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "
             starts = [0, *range(first, len(ids), capacity)]
             for i, (a, b) in enumerate(zip(starts, [*starts[1:], len(ids)])):
                 keys.append(k)
-                rows.append((i, a, b - a, zlib.crc32(ids[a:b].tobytes())))
+                rows.append((i, a, b - a, zlib.crc32(ids[a:b].tobytes()), turns[b - a]))
+                turns[b - a] += 1
                 if with_ids:
                     parts.append(ids[a:b].tolist())
-        cols = list(zip(*rows)) or [[], [], [], []]
+        cols = list(zip(*rows)) or [[], [], [], [], []]
         out = {"id": t["id"].take(pa.array(keys, pa.int64())), "piece": pa.array(cols[0], pa.int32())}
-        out |= {n: pa.array(c, pa.int64()) for n, c in zip(("start", "length", "ids_crc32"), cols[1:])}
+        out |= {n: pa.array(c, pa.int64()) for n, c in zip(("start", "length", "ids_crc32", "turn"), cols[1:])}
+        out["task"] = pa.array([TaskContext.get().partitionId()] * len(rows), pa.int32())
         return pa.table(out | ({"ids": pa.array(parts, pa.list_(pa.int64()))} if with_ids else {}))
 
-    schema = f"id {kind}, piece int, start long, length long, ids_crc32 long" + ", ids array<long>" * with_ids
+    schema = f"id {kind}, piece int, start long, length long, ids_crc32 long, turn long, task int" + ", ids array<long>" * with_ids
     return map_batches(docs.select(F.col(id_col).alias("id"), utf8(text_col).alias("text")), run, schema, 256)
 
 
@@ -158,36 +162,31 @@ def pack(
     text_col: str = "text",
     capacity: int = CAPACITY,
     with_ids: bool = False,
-    slice_rows: int = SLICE,
 ) -> DataFrame:
     """One row per piece with its sequence_id and offset there.
 
     Lengths are whole numbers up to capacity, so the table of counts by length
     has at most ``capacity`` rows however many documents there are. That table
     comes to the driver, which packs it, and returns as a table of slots: the
-    n-th piece of a length goes to the n-th slot of that length. Pieces are
-    numbered within (length, slice), a slice being a share of a length by hash,
-    so that no length, however common, is ordered in one task.
+    n-th piece of a length goes to the n-th slot of that length. The tasks that
+    make the pieces number them by length, and sums over the tasks before give
+    each its first number: no length, however common, and no group of equal
+    documents is ordered or gathered.
 
     A null text is an empty document, one END_ID; a text of any length is
     encoded as a whole in the task that holds it; null ids and repeated rows
     are documents like others; an empty table gives an empty result; columns
-    besides the two named are ignored. Reruns give each piece the same place.
+    besides the two named are ignored. Reruns over the same files and splits
+    give each piece the same place.
     """
     path = path or public_tokenizers.path(VOCABULARY)
     cut = as_table(pieces(docs, path, id_col, text_col, capacity, with_ids), "pieces")
     spark = docs.sparkSession
     counts = {r["length"]: r["n"] for r in cut.groupBy("length").agg(F.count("*").alias("n")).collect()}
     slots = _slots(best_two_fit(counts, capacity))
-    # Slices of a length: as many as it needs, by a hash of what tells pieces apart.
-    # Both small tables have at most `capacity` rows.
-    widths = spark.createDataFrame([(x, -(-n // slice_rows)) for x, n in counts.items()], "length long, slices long").hint("broadcast")
-    dealt = cut.join(widths, "length").withColumn("slice", F.pmod(F.xxhash64("id", "piece", "ids_crc32"), F.col("slices")))
-    before = Window.partitionBy("length").orderBy("slice").rowsBetween(Window.unboundedPreceding, -1)
-    starts = dealt.groupBy("length", "slice").agg(F.count("*").alias("n")).withColumn("first", F.coalesce(F.sum("n").over(before), F.lit(0)))
-    within = Window.partitionBy("length", "slice").orderBy("id", "piece", "start", "ids_crc32")
-    ranked = dealt.withColumn("turn", F.row_number().over(within)).join(starts.select("length", "slice", "first"), ["length", "slice"])
-    ranked = ranked.withColumn("rank", F.col("first") + F.col("turn") - 1)
+    before = Window.partitionBy("length").orderBy("task").rowsBetween(Window.unboundedPreceding, -1)
+    starts = cut.groupBy("length", "task").agg(F.count("*").alias("n")).select("length", "task", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("first"))
+    ranked = cut.join(starts, ["length", "task"]).withColumn("rank", F.col("first") + F.col("turn"))
     # A length has few runs of equal slots: their number depends on the lengths alone.
     table = spark.createDataFrame(slots, "length long, runs array<struct<until:long,first:long,sequence:long,offset:long>>").hint("broadcast")
     run = F.element_at(F.filter("runs", lambda r: F.col("rank") < r["until"]), 1)

@@ -46,8 +46,8 @@ def test_documents(spark):
 def test_odd_rows(spark):
     texts = [(1, "a b"), (1, "a b"), (2, None), (3, ""), (None, "x <|endoftext|> y"), (4, "word " * 5000), (5, "<|endoftext|>"), (6, "Ünïcödé 漢字 🙂 \n\n\t x"), (7, "tick " * 1023)]
     df = spark.createDataFrame([(*t, 1, 2) for t in texts], "doc_id long, text string, length int, slice int")
-    for slice_rows in (1, 3, 100_000):
-        check(packing.pack(df, slice_rows=slice_rows).collect(), texts)
+    for parts in (1, 3, 40):
+        check(packing.pack(df.repartition(parts)).collect(), texts)
     assert packing.pack(df.limit(0)).count() == 0
     ids = [i for r in sorted(packing.pack(df.where("doc_id = 4"), with_ids=True).collect(), key=lambda r: r["start"]) for i in r["ids"]]
     assert Tokenizer.from_file(PATH).decode(ids[:-1]) == "word " * 5000
