@@ -14,6 +14,10 @@ from keelstone import errors
 from keelstone.operators.table import REF, Entry, Table, collected, entry
 
 
+def _file() -> Column:
+    return F.regexp_extract("_metadata.file_path", "[^/]+$", 0).alias("file")
+
+
 class Cursor:
     """Reads a table as it was when the cursor was made, from its least key or from ``at`` on.
 
@@ -43,7 +47,7 @@ class Cursor:
         return self.table.resolved(self.content, inside)
 
     def _view(self) -> list[tuple[str, int]]:
-        """(path, entries) of the files of the written view, in key order."""
+        """(name, entries) of the files of the written view, in key order."""
         if self._files is None:
             session, order = self.table.session, self.table.key.order(F.col("k"))
             _, name = session.fresh("cursor")
@@ -52,8 +56,8 @@ class Cursor:
             rows = self._ahead()
             rows.repartitionByRange(*order).sortWithinPartitions(*order).write.options(**self.table.config.write_options()).parquet(path)
             read = session.spark.read.schema(self._schema).parquet(path)
-            files = read.groupBy(F.col("_metadata.file_path").alias("path")).agg(F.count("*").alias("n"), self._least().alias("least"))
-            self._files = [(r["path"], r["n"]) for r in collected(files.orderBy("least"))]
+            files = read.groupBy(_file()).agg(F.count("*").alias("n"), self._least().alias("least"))
+            self._files, self._folder = [(r["file"], r["n"]) for r in collected(files.orderBy("least"))], path
         return self._files
 
     def _least(self) -> Column:
@@ -62,10 +66,10 @@ class Cursor:
     def _page(self, n: int) -> DataFrame | None:
         """The entries after the last one read, from as many files as hold n of them for certain."""
         files, sure, paths = self._view(), 0, []
-        for i, (path, m) in enumerate(files):
+        for i, (name, m) in enumerate(files):
             # Some of the first file's entries are read already, nobody counts how many.
             sure += m if i else 0
-            paths.append(path)
+            paths.append(f"{self._folder}/{name}")
             if sure >= n:
                 break
         if not paths:
@@ -87,14 +91,14 @@ class Cursor:
             return []
         if holds is not None:
             page = prefix(page, holds, self.table)
-        rows = collected(page.orderBy(*self.table.key.order(F.col("k"))).limit(n).select("k", "v", "blob", F.col("_metadata.file_path").alias("path")))
+        rows = collected(page.orderBy(*self.table.key.order(F.col("k"))).limit(n).select("k", "v", "blob", _file()))
         if rows:
             self._move(rows[-1])
         return [entry(r) for r in rows]
 
     def _move(self, row: Any) -> None:
         self.last = row["k"]
-        at = next(i for i, (path, _) in enumerate(self._files) if path == row["path"])
+        at = next(i for i, (name, _) in enumerate(self._files) if name == row["file"])
         self._files = self._files[at:]
 
     def take(self, n: int) -> list[Entry]:
@@ -119,7 +123,7 @@ class Cursor:
             if isinstance(test, Column):
                 return self._take(n, test)
             page = self._page(max(0, n)) if n > 0 else None
-            rows = [] if page is None else collected(page.orderBy(*self.table.key.order(F.col("k"))).limit(n).select("k", "v", "blob", F.col("_metadata.file_path").alias("path")))
+            rows = [] if page is None else collected(page.orderBy(*self.table.key.order(F.col("k"))).limit(n).select("k", "v", "blob", _file()))
             good = list(itertools.takewhile(lambda r: holds(r["k"]), rows))
             if good:
                 self._move(good[-1])

@@ -404,7 +404,7 @@ class Table:
         """A union that is paid off becomes runs of inserts, older than all others."""
         with self._lock:
             union = self.content.union
-            if union is not None and union.debt() == 0:
+            if union is not None and union.sizes and union.debt() == 0:
                 self.content = replace(self.content, runs=(*union.as_runs(), *self.content.runs), union=None)
                 self.trace("migrated_union")
 

@@ -10,6 +10,10 @@ from pyspark.sql import SparkSession
 from pyspark.sql import functions as F
 
 
+#: Bytes of a file that an executor reads at once, at most.
+LARGE = 256 << 20
+
+
 class Files:
     """File operations below any path that Spark can reach."""
 
@@ -68,17 +72,34 @@ class Files:
             stream.close()
 
     def sums(self, paths: list[str]) -> dict[str, dict[str, list[int]]]:
-        """[length, CRC-32] of each data file in some table folders, read by the executors."""
-        if not paths:
-            return {}
-        files = self.spark.read.format("binaryFile").option("pathGlobFilter", "part-*").load(paths)
-        rows = files.select("path", "length", F.crc32("content").alias("sum")).collect()  # a row per file
-        out: dict[str, dict[str, list[int]]] = {p.rstrip("/").rpartition("/")[2]: {} for p in paths}
-        for r in rows:
-            folder, name = r["path"].split("/")[-2:]
-            out[folder][name] = [r["length"], r["sum"]]
+        """[length, CRC-32] of each data file in some table folders.
+
+        Executors read the files, whole; one above LARGE, which few writers
+        make, is read in blocks on the driver.
+        """
+        out: dict[str, dict[str, list[int]]] = {}
+        for p in paths:
+            fs, at = self._at(p)
+            own = out.setdefault(p.rstrip("/").rpartition("/")[2], {})
+            for s in fs.listStatus(at):
+                if s.getPath().getName().startswith("part-") and s.getLen() > LARGE:
+                    own[s.getPath().getName()] = [s.getLen(), self._sum(fs, s.getPath())]
+        if paths:
+            files = self.spark.read.format("binaryFile").option("pathGlobFilter", "part-*").load(paths).where(F.col("length") <= LARGE)
+            for r in files.select("path", "length", F.crc32("content").alias("sum")).collect():  # a row per file
+                folder, name = r["path"].split("/")[-2:]
+                out[folder][name] = [r["length"], r["sum"]]
         return out
 
+    def _sum(self, fs, path) -> int:
+        total = self.jvm.java.util.zip.CRC32()
+        stream = self.jvm.java.util.zip.CheckedInputStream(fs.open(path), total)
+        try:
+            self.jvm.org.apache.commons.io.IOUtils.copyLarge(stream, self.jvm.org.apache.commons.io.output.NullOutputStream.INSTANCE)
+        finally:
+            stream.close()
+        return total.getValue()
+
 
 def sealed(meta: dict[str, Any]) -> tuple[bytes, bytes]:
     """A metadata document and its checksum line."""

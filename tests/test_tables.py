@@ -332,6 +332,19 @@ def test_runs_are_shared_and_swept(spark):
     assert s.files.names(f"{root}/runs") == []
 
 
+def test_checksums_by_executors_and_in_blocks_agree(session, monkeypatch):
+    from keelstone.sources import files
+
+    t = text_table(session)
+    t.inserts([(i, f"v{i}" * 50) for i in range(500)])
+    t.flush()
+    path = session.run_path(t.content.runs[0].name)
+    whole = session.files.sums([path])
+    assert sum(map(len, whole.values())) == 1
+    monkeypatch.setattr(files, "LARGE", 10)
+    assert session.files.sums([path]) == whole
+
+
 def test_a_lock_of_a_dead_process_is_taken_over(spark):
     import json
     import socket
