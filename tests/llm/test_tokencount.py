@@ -1,5 +1,6 @@
 import public_tokenizers
 import pyarrow.parquet as pq
+import pytest
 import sentencepiece
 from hypothesis import given, settings
 from hypothesis import strategies as st
@@ -28,13 +29,14 @@ def test_documents_match_the_library(spark):
     assert got(tokencount.op3_tokens(spark, SF)) == brute(rows)
 
 
-def test_odd_rows(spark):
+@pytest.mark.parametrize("told", [tokencount.TOLD, 40, 0])
+def test_odd_rows(spark, told):
     rows = [
         (1, "a b"), (1, "a b"), (2, None), (3, ""), (None, "  two  spaces "), (4, "word " * 9000), (5, " "), (6, "   "), (7, "\n\n \t x\r\n"), (8, "<s> </s> <unk> <0x0A>"),
         (9, "▁ ▁▁x a▁"), (10, "漢字かな🙂 é  x　y"), (11, "x" * 5000), (12, "1234 5678 9"),
     ]
     df = spark.createDataFrame([(*r, 0, "k") for r in rows], "doc_id long, text string, n_tokens int, id string")
-    assert got(tokencount.count_tokens(df)) == brute(rows)
+    assert got(tokencount.count_tokens(df, told=told)) == brute(rows)
     assert tokencount.count_tokens(df.limit(0)).count() == 0
 
 
@@ -43,4 +45,6 @@ def test_odd_rows(spark):
 def test_any_text_matches_the_library(texts):
     p = tokencount.pieces_of(PATH)
     assert p.splits
-    assert tokencount.count_texts(texts, p).tolist() == [len(LIB.encode(t)) for t in texts]
+    parts, doc, number, times = tokencount.frequencies(texts, p)
+    per = p.counts(parts.to_pylist())
+    assert [int((per[number] * times)[doc == i].sum()) for i in range(len(texts))] == [len(LIB.encode(t)) for t in texts]
