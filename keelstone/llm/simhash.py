@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from itertools import combinations
 
 import numpy as np
@@ -14,9 +14,15 @@ from xxhash import xxh64_intdigest
 from keelstone.llm import jaccard
 from keelstone.llm.common import as_table, documents, map_batches, utf8
 from keelstone.llm.components import components
-from keelstone.llm.jaccard import SHINGLE, SIMILARITY, checked, least_rows, text_key
+from keelstone.llm.jaccard import SHINGLE, SIMILARITY
 
 RADIUS = 3
+#: Bits within which the fingerprints of similar texts lie: those of similarity
+#: 0.8 are 10 bits apart on average, and beyond 16 once in fifty pairs.
+NEAR = 16
+#: Texts of one in so many are looked at for common shingles; those in so many
+#: of them are common, and at most so many are told to the tasks.
+SAMPLE, COMMON, TOLD = 16, 3, 500_000
 #: A group of more fingerprints than this is dealt out as several shard trees.
 SHARD = 4096
 #: Below this many fingerprints a tree is walked one query at a time.
@@ -34,7 +40,11 @@ def fingerprint(text: bytes | None, shingle: int = 3, seed: int = 42) -> int:
     if not words:
         return 0
     grams = zip(*(words[i:] for i in range(shingle))) if len(words) >= shingle else [words]
-    h = np.fromiter((xxh64_intdigest(b" ".join(g), seed) for g in grams), np.uint64)
+    return majority(np.fromiter((xxh64_intdigest(b" ".join(g), seed) for g in grams), np.uint64))
+
+
+def majority(h: np.ndarray) -> int:
+    """The number whose bits are set in over half of the numbers."""
     votes = np.zeros(64, np.int64)
     for at in range(0, len(h), 1 << 14):
         part = np.ascontiguousarray(h[at : at + (1 << 14)])
@@ -79,6 +89,11 @@ def spanning(values: np.ndarray, radius: int) -> list[tuple[int, int]]:
     """
     if len(values) <= SMALL:
         return _spanning_small(values, radius)
+    return [(int(values[i]), int(values[j])) for i, j in walked(values, radius)]
+
+
+def walked(values: np.ndarray, radius: int, allowed: Callable[[int, np.ndarray], np.ndarray] | None = None) -> list[tuple[int, int]]:
+    """Links (i, j) between places of values, as ``spanning``; allowed(i, js): which links count besides."""
     label, out = np.arange(len(values)), []
     # A tree over the rows `own` (its root first), walked by all queries at once.
     todo = [(np.arange(len(values)), np.arange(len(values)))]
@@ -87,11 +102,12 @@ def spanning(values: np.ndarray, radius: int) -> list[tuple[int, int]]:
         root, rest = own[0], own[1:]
         far = np.bitwise_count(values[asked] ^ values[root]).astype(np.int64)
         hit = asked[far <= radius]
-        if (other := np.unique(label[hit])).size > 1 or other.size == 1 and other[0] != label[root]:
-            other = other[other != label[root]]
-            for x in other:
-                out.append((int(values[root]), int(values[hit[label[hit] == x][0]])))
-            label[np.isin(label, other)] = label[root]
+        if allowed is not None:
+            hit = hit[allowed(root, hit)]
+        for x in np.unique(label[hit]):
+            if x != label[root]:
+                out.append((int(root), int(hit[label[hit] == x][0])))
+                label[label == x] = label[root]
         if not rest.size:
             continue
         edge = np.bitwise_count(values[rest] ^ values[root]).astype(np.int64)
@@ -247,42 +263,103 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     return prints.join(of, "fp").select(F.col("id").alias(id_col), F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
-def fingerprint_pairs(texts: DataFrame, shingle: int, radius: int = RADIUS) -> DataFrame:
-    """Pairs (a, b) of text keys that join all texts whose fingerprints the radius joins; texts: (k, text binary)."""
-
-    def run(t: pa.Table) -> pa.Table:
-        fp = np.fromiter((fingerprint(x, shingle) for x in t["text"].to_pylist()), np.uint64, t.num_rows)
-        return pa.table({"k": t["k"], "fp": fp.view(np.int64)})
-
-    prints = as_table(map_batches(texts, run, "k long, fp long").distinct(), "text-prints")
-    least = as_table(prints.groupBy("fp").agg(F.min("k").alias("a")), "least-keys")
-    equal = prints.join(least, "fp").where("k <> a").select("a", F.col("k").alias("b"))
-    between = as_table(links(least.select("fp"), radius).toDF("x", "y"), "print-links")
-    one, other = least.select(F.col("fp").alias("x"), "a"), least.select(F.col("fp").alias("y"), F.col("a").alias("b"))
-    return equal.unionByName(between.join(one, "x").join(other, "y").select("a", "b"))
+def candidates(texts: DataFrame, shingle: int, similarity: float, radius: int = NEAR) -> DataFrame:
+    """Links (a, b) among the keys of texts(k, text) that join all candidates for the similarity.
 
+    Candidates share a shingle of their prefixes (two sets of the similarity
+    always do), can be similar by their sizes and the shingle's places, and
+    have fingerprints within ``radius`` bits. The texts under a shingle are a
+    shard with a BK-tree over their fingerprints, walked by all of them. Common
+    shingles come last in the order, so that prefixes hold them only in texts
+    made of little else; such a shard is dealt out anew for each shingle, in
+    parts of SHARD texts by what a sample of the texts shows.
+    """
 
-def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = SHINGLE, similarity: float = SIMILARITY) -> DataFrame:
+    def flat(t: pa.Table, common: np.ndarray | None, parts: np.ndarray | None) -> pa.Table:
+        all_hashes = [jaccard.hashes(x, shingle) for x in t["text"].to_pylist()]
+        fp = np.fromiter(map(majority, all_hashes), np.uint64, len(all_hashes))
+        sets = [np.unique(h) for h in all_hashes]
+        size = np.array(list(map(len, sets)), np.int32)
+        if common is not None:
+            sets = [jaccard.prefix(s, common, similarity) for s in sets]
+        at = np.repeat(np.arange(len(sets)), list(map(len, sets)))
+        left = np.concatenate([n - np.arange(len(s)) for n, s in zip(size, sets)]).astype(np.int32)
+        tokens, k = np.concatenate(sets), t["k"].to_numpy()[at]
+        salt = np.zeros(len(tokens), np.int32)
+        if common is not None and len(common):
+            place = np.minimum(np.searchsorted(common, tokens), len(common) - 1)
+            mixed = (k.view(np.uint64) ^ tokens) * np.uint64(0x9E3779B97F4A7C15) >> np.uint64(33)
+            salt = np.where(common[place] == tokens, (mixed % parts[place]).astype(np.int32), 0).astype(np.int32)
+        return pa.table({"token": tokens.view(np.int64), "salt": salt, "k": k, "fp": fp.view(np.int64)[at], "n": size[at], "left": left})
+
+    schema = "token long, salt int, k long, fp long, n int, left int"
+    some = map_batches(texts.where(F.pmod("k", F.lit(SAMPLE)) == 0), lambda t: flat(t, None, None), schema, 256).select("token", "k").distinct()
+    often = some.groupBy("token").count().where(F.col("count") >= COMMON).orderBy(F.desc("count"), "token").limit(TOLD).toArrow()
+    order = np.argsort(often["token"].to_numpy().view(np.uint64))
+    common = often["token"].to_numpy().view(np.uint64)[order]
+    parts = np.maximum(1, -(-often["count"].to_numpy()[order] * SAMPLE // SHARD)).astype(np.uint64)
+
+    def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Rows come by shingle and part; a shard may go on in the next batch."""
+        held: dict[str, np.ndarray] | None = None
+        for b in batches:
+            cols = {c: b.column(c).to_numpy() for c in b.schema.names}
+            held = cols if held is None else {c: np.concatenate([held[c], cols[c]]) for c in cols}
+            if not len(held["k"]):
+                continue
+            cuts = np.flatnonzero((held["token"][1:] != held["token"][:-1]) | (held["salt"][1:] != held["salt"][:-1])) + 1
+            if len(cuts):
+                yield shard_links({c: v[: cuts[-1]] for c, v in held.items()}, cuts[:-1], similarity, radius)
+                held = {c: v[cuts[-1] :] for c, v in held.items()}
+        if held is not None and len(held["k"]):
+            yield shard_links(held, np.zeros(0, np.int64), similarity, radius)
+
+    rows = map_batches(texts, lambda t: flat(t, common, parts), schema, 256)
+    return rows.repartition("token", "salt").sortWithinPartitions("token", "salt").mapInArrow(meet, "a long, b long").distinct()
+
+
+def shard_links(rows: dict[str, np.ndarray], cuts: np.ndarray, similarity: float, radius: int) -> pa.RecordBatch:
+    """Links (a, b), a below b, within each shard of rows(k, fp, n, left), cut at ``cuts``."""
+    k, fp, n, left = rows["k"], rows["fp"].view(np.uint64), rows["n"].astype(np.int64), rows["left"].astype(np.int64)
+    starts = np.append(0, cuts).astype(np.int64)
+    many = np.diff(np.append(starts, len(k)))
+    # Shards of two need no tree.
+    i = starts[many == 2]
+    good = (np.bitwise_count(fp[i] ^ fp[i + 1]) <= radius) & jaccard.possible(n[i], left[i], n[i + 1], left[i + 1], similarity)
+    found = [np.column_stack([k[i[good]], k[i[good] + 1]])]
+    for a, m in zip(starts[many > 2].tolist(), many[many > 2].tolist()):
+        own = slice(a, a + m)
+        kk, nn, ll = k[own], n[own], left[own]
+        links = walked(fp[own], radius, lambda r, js, nn=nn, ll=ll: jaccard.possible(nn[r], ll[r], nn[js], ll[js], similarity))
+        if links:
+            found.append(kk[np.array(links)])
+    pairs = np.sort(np.concatenate(found), axis=1)
+    pairs = np.unique(pairs[pairs[:, 0] != pairs[:, 1]], axis=0)
+    return pa.RecordBatch.from_arrays([pa.array(pairs[:, 0]), pa.array(pairs[:, 1])], ["a", "b"])
+
+
+def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = SHINGLE, similarity: float = SIMILARITY, radius: int = NEAR) -> DataFrame:
     """docs without near-duplicates: one row of each component of similar texts.
 
     Two texts are linked if the Jaccard similarity of their sets of word
-    shingles is ``similarity`` or more. Fingerprints of these shingles that
-    BK-trees find within RADIUS bits show most links of a large group, and are
-    checked exactly. As 64 bits don't show all pairs of that similarity, texts
-    that are still apart are compared where they share a rare shingle (see
-    ``jaccard.links``), so that no link is lost.
+    shingles is ``similarity`` or more. BK-trees over the fingerprints of these
+    shingles find candidates within ``radius`` bits (see ``candidates``); the
+    groups that candidates join are then compared exactly, all pairs, so that
+    no link is wrong, and one is lost only if the fingerprints of a pair, and
+    of all chains of candidates between the two, lie further apart.
 
     The row of least id stays, null ids last, then that of least text key; of
     rows equal in both, any one. Rows are judged by their texts alone, so null
     and repeated ids do no harm. Null, empty and blank texts are similar to
     each other and to no other text. Texts are told apart by 64 bits of their
-    digest. An empty table gives an empty result; no other column is looked at.
+    digest, and are read as a whole, of any length. An empty table gives an
+    empty result; no other column is looked at.
     """
-    texts = docs.select(text_key(F.col(text_col)).alias("k"), utf8(text_col).alias("text"))
-    known = checked(as_table(fingerprint_pairs(texts, shingle), "print-pairs"), texts, shingle, similarity)
-    roots = components(as_table(known, "known"), "known-components")
-    found = as_table(jaccard.links(docs, as_table(roots, "known-roots"), text_col, shingle, similarity), "similar")
-    return least_rows(docs, components(found, "similar-components"), id_col, text_col)
+    texts = jaccard.distinct_texts(docs, text_col)
+    groups_of = components(as_table(candidates(texts, shingle, similarity, radius), "candidates"), "candidate-components")
+    members = as_table(groups_of.select(F.col("node").alias("k"), "root"), "members")
+    found = as_table(jaccard.checked(texts, members, shingle, similarity), "similar")
+    return jaccard.least_rows(docs, components(found, "similar-components"), id_col, text_col)
 
 
 def op8_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:

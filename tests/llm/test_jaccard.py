@@ -1,6 +1,8 @@
 import random
 
+import numpy as np
 import pyarrow.parquet as pq
+import pytest
 
 import corpus_pipeline
 from keelstone.llm import jaccard, simhash
@@ -40,8 +42,27 @@ def test_stage_keeps_what_all_pairs_keep(spark):
     assert sorted((r["doc_id"] for r in out.collect()), key=str) == brute(rows)
 
 
-def test_chains_common_passages_and_edges(spark, monkeypatch):
-    monkeypatch.setattr(jaccard, "SAMPLE", 2)
+def test_links_equal_all_pairs():
+    rnd = random.Random(8)
+    base = [rnd.getrandbits(64) for _ in range(60)]
+    sets = [np.unique(np.array([x if rnd.random() < 0.93 else rnd.getrandbits(64) for x in base], np.uint64)) for _ in range(50)] + [np.array([i], np.uint64) for i in (1, 1, 2)]
+
+    def classes(pairs):
+        up = list(range(len(sets)))
+        for a, b in pairs:
+            x, y = up[a], up[b]
+            up = [x if u == y else u for u in up]
+        return up
+
+    want = classes((i, j) for i in range(len(sets)) for j in range(i) if jaccard.similar(sets[i], sets[j], 0.8))
+    got = classes(links := jaccard.similar_links(sets, 0.8))
+    assert {tuple(u == v for v in want) for u in want} == {tuple(u == v for v in got) for u in got} and len(links) == len(sets) - len(set(want))
+
+
+@pytest.mark.parametrize("group", [2048, 7])
+def test_chains_common_passages_and_edges(spark, monkeypatch, group):
+    monkeypatch.setattr(simhash, "SAMPLE", 2)
+    monkeypatch.setattr(jaccard, "GROUP", group)
     rnd = random.Random(4)
     word = lambda: "".join(rnd.choice("abcdefgh") for _ in range(6))
     line = [word() for _ in range(30)]

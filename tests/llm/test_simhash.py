@@ -56,21 +56,6 @@ def test_nulls_empty_ties_and_extra_columns(spark):
     assert sorted(str(r["doc_id"]) for r in kept.collect()) == sorted(["1", "2", "4", "6", "None"])
 
 
-def test_pairs_join_all_texts_within_the_radius(spark):
-    rows = [(r["doc_id"], r["text"]) for r in pq.read_table(f"{SF}/documents.parquet").to_pylist()]
-    texts = spark.createDataFrame([(i, (t or "").encode()) for i, t in rows], "k long, text binary")
-    up = {i: i for i, _ in rows}
-
-    def top(i):
-        while up[i] != i:
-            i = up[i]
-        return i
-
-    for r in simhash.fingerprint_pairs(texts, 3).collect():
-        up[max(top(r["a"]), top(r["b"]))] = min(top(r["a"]), top(r["b"]))
-    assert sorted((i, top(i)) for i, _ in rows) == sorted((i, c) for i, _, c in brute(rows))
-
-
 def test_large_groups_are_split_without_loss(spark):
     rnd = random.Random(3)
     centre = rnd.getrandbits(64)
