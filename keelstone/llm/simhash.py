@@ -22,7 +22,7 @@ RADIUS = 3
 NEAR = 16
 #: Texts of one in so many are looked at for common shingles; those in so many
 #: of them are common, and at most so many are told to the tasks.
-SAMPLE, COMMON, TOLD = 16, 3, 500_000
+SAMPLE, COMMON, TOLD = 16, 3, 1_000_000
 #: A group of more fingerprints than this is dealt out as several shard trees.
 SHARD = 4096
 #: Below this many fingerprints a tree is walked one query at a time.
@@ -272,7 +272,8 @@ def candidates(texts: DataFrame, shingle: int, similarity: float, radius: int =
     shard with a BK-tree over their fingerprints, walked by all of them. Common
     shingles come last in the order, so that prefixes hold them only in texts
     made of little else; such a shard is dealt out anew for each shingle, in
-    parts of SHARD texts by what a sample of the texts shows.
+    parts of SHARD texts by what a sample of the texts shows, and so is any
+    other of over four times as many.
     """
 
     def flat(t: pa.Table, common: np.ndarray | None, parts: np.ndarray | None) -> pa.Table:
@@ -288,8 +289,7 @@ def candidates(texts: DataFrame, shingle: int, similarity: float, radius: int =
         salt = np.zeros(len(tokens), np.int32)
         if common is not None and len(common):
             place = np.minimum(np.searchsorted(common, tokens), len(common) - 1)
-            mixed = (k.view(np.uint64) ^ tokens) * np.uint64(0x9E3779B97F4A7C15) >> np.uint64(33)
-            salt = np.where(common[place] == tokens, (mixed % parts[place]).astype(np.int32), 0).astype(np.int32)
+            salt = np.where(common[place] == tokens, dealt(k, tokens, parts[place]), 0).astype(np.int32)
         return pa.table({"token": tokens.view(np.int64), "salt": salt, "k": k, "fp": fp.view(np.int64)[at], "n": size[at], "left": left})
 
     schema = "token long, salt int, k long, fp long, n int, left int"
@@ -318,6 +318,12 @@ def candidates(texts: DataFrame, shingle: int, similarity: float, radius: int =
     return rows.repartition("token", "salt").sortWithinPartitions("token", "salt").mapInArrow(meet, "a long, b long").distinct()
 
 
+def dealt(k: np.ndarray, token: np.ndarray, parts: np.ndarray) -> np.ndarray:
+    """The part that each text goes to, another one under each shingle."""
+    mixed = (k.view(np.uint64) ^ np.asarray(token).view(np.uint64)) * np.uint64(0x9E3779B97F4A7C15) >> np.uint64(33)
+    return (mixed % parts).astype(np.int64)
+
+
 def shard_links(rows: dict[str, np.ndarray], cuts: np.ndarray, similarity: float, radius: int) -> pa.RecordBatch:
     """Links (a, b), a below b, within each shard of rows(k, fp, n, left), cut at ``cuts``."""
     k, fp, n, left = rows["k"], rows["fp"].view(np.uint64), rows["n"].astype(np.int64), rows["left"].astype(np.int64)
@@ -328,11 +334,13 @@ def shard_links(rows: dict[str, np.ndarray], cuts: np.ndarray, similarity: float
     good = (np.bitwise_count(fp[i] ^ fp[i + 1]) <= radius) & jaccard.possible(n[i], left[i], n[i + 1], left[i + 1], similarity)
     found = [np.column_stack([k[i[good]], k[i[good] + 1]])]
     for a, m in zip(starts[many > 2].tolist(), many[many > 2].tolist()):
-        own = slice(a, a + m)
-        kk, nn, ll = k[own], n[own], left[own]
-        links = walked(fp[own], radius, lambda r, js, nn=nn, ll=ll: jaccard.possible(nn[r], ll[r], nn[js], ll[js], similarity))
-        if links:
-            found.append(kk[np.array(links)])
+        part = np.zeros(m, np.int64) if m <= 4 * SHARD else dealt(k[a : a + m], rows["token"][a], np.uint64(-(-m // SHARD)))
+        for x in range(int(part.max()) + 1):
+            own = a + np.flatnonzero(part == x)
+            kk, nn, ll = k[own], n[own], left[own]
+            links = walked(fp[own], radius, lambda r, js, nn=nn, ll=ll: jaccard.possible(nn[r], ll[r], nn[js], ll[js], similarity)) if len(own) > 1 else []
+            if links:
+                found.append(kk[np.array(links)])
     pairs = np.sort(np.concatenate(found), axis=1)
     pairs = np.unique(pairs[pairs[:, 0] != pairs[:, 1]], axis=0)
     return pa.RecordBatch.from_arrays([pa.array(pairs[:, 0]), pa.array(pairs[:, 1])], ["a", "b"])

@@ -59,10 +59,18 @@ def test_links_equal_all_pairs():
     assert {tuple(u == v for v in want) for u in want} == {tuple(u == v for v in got) for u in got} and len(links) == len(sets) - len(set(want))
 
 
+def test_large_shards_are_dealt_out(monkeypatch):
+    monkeypatch.setattr(simhash, "SHARD", 10)
+    rows = {"token": np.full(200, 5), "k": np.arange(200) * 7919, "fp": np.full(200, 77), "n": np.full(200, 10), "left": np.full(200, 10)}
+    pairs = simhash.shard_links(rows, np.zeros(0, np.int64), 0.8, 3)
+    assert 200 - 30 < pairs.num_rows < 200
+
+
 @pytest.mark.parametrize("group", [2048, 7])
 def test_chains_common_passages_and_edges(spark, monkeypatch, group):
     monkeypatch.setattr(simhash, "SAMPLE", 2)
     monkeypatch.setattr(jaccard, "GROUP", group)
+    assert simhash.shard_links({"token": np.full(9, 5), "k": np.arange(9), "fp": np.full(9, 77), "n": np.full(9, 10), "left": np.full(9, 10)}, np.array([4]), 0.8, 3).num_rows == 7
     rnd = random.Random(4)
     word = lambda: "".join(rnd.choice("abcdefgh") for _ in range(6))
     line = [word() for _ in range(30)]
