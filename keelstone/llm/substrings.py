@@ -9,6 +9,7 @@ from functools import cached_property
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import zstandard
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -168,6 +169,7 @@ def by_minimiser(batches: Iterator[pa.RecordBatch], held_rows: int, held_bytes:
             if len(kept) >= held_rows or size >= held_bytes:
                 yield last, False, kept
                 kept, size, split = [], 0, True
+        yield None, True, []  # so that the caller gets its turn with every batch
     if kept:
         yield last, not split, kept
 
@@ -205,7 +207,9 @@ def repeated_runs(docs: DataFrame, window: int = WINDOW, m: int = MINIMISER, sha
 
     Windows that share a minimiser travel as one packed string to its bucket,
     where rows are sorted and equal windows are counted as whole word
-    sequences. Copies of a text within a batch travel once with their number.
+    sequences. Copies of a text within a batch travel once with their number,
+    and so does a string found twice there: its places, known to be repeated,
+    travel without it, dealt out evenly.
     Strings of common minimisers are dealt out by string and place, and meet in
     two steps: a string found twice is repeated as a whole, its places leave at
     once, and only the string with its count goes on to the minimiser's bucket;
@@ -221,18 +225,30 @@ def repeated_runs(docs: DataFrame, window: int = WINDOW, m: int = MINIMISER, sha
         texts: dict[bytes, list] = {}
         for u, x in zip(t["uid"].to_pylist(), t["text"].to_pylist()):
             texts.setdefault(u, [0, x])[0] += 1
-        rows = [(u, n, *s) for u, (n, x) in texts.items() for s in super_k_mers(x or b"", common, window, m)]
+        rows: list[tuple] = []
+        places: dict[bytes, list[tuple]] = {}
+        for u, (n, x) in texts.items():
+            for start, many, mini, string in super_k_mers(x or b"", common, window, m):
+                places.setdefault(string, []).append((u, n, start, many, mini))
+        met: list[tuple] = []
+        for string, own in places.items():
+            if len(own) > 1:
+                rows.append((None, sum(r[1] for r in own), 0, own[0][3], own[0][4], string))
+                met += own
+            else:
+                rows.append((*own[0], string))
         uid, times, start, many, mini, strings = list(zip(*rows)) or [()] * 6
         mini = np.array(mini, np.int64)
         hot = listed(mini.view(np.uint64), common)
         # The batch takes part in the place, so that copies in many batches are dealt out too.
         batch = xxh64_intdigest(t["uid"][0].as_py()) >> 32 if t.num_rows else 0
-        salt = [1 + xxh64_intdigest(x) % 32 * 32 + xxh64_intdigest(u, batch + a) % 32 if h else 0 for u, a, x, h in zip(uid, start, strings, hot.tolist())]
+        salt = [1 + xxh64_intdigest(x) % 32 * 32 + xxh64_intdigest(u or b"", batch + a) % 32 if h else 0 for u, a, x, h in zip(uid, start, strings, hot.tolist())]
         packed = [packer.pack(x) for x in strings]
-        yield pa.table({
-            "mini": mini, "salt": pa.array(salt, pa.int32()), "uid": pa.array(uid, pa.binary()), "start": pa.array(start, pa.int64()),
-            "many": pa.array(many, pa.int32()), "times": pa.array(times, pa.int64()), "packed": pa.array(packed, pa.binary()),
-        })
+        yield cut_rows(mini, salt, uid, start, many, times, packed)
+        if met:
+            uid, times, start, many, _ = zip(*met)
+            spread = np.fromiter((xxh64_intdigest(u, a) for u, a in zip(uid, start)), np.uint64).view(np.int64)
+            yield cut_rows(spread, [-1] * len(met), uid, start, many, times, [None] * len(met))
 
     cuts = map_batches(docs, cut, "mini long, salt int, uid binary, start long, many int, times long, packed binary", 1024)
     ordered = cuts.repartition("mini", "salt").sortWithinPartitions("mini", "packed")
@@ -240,10 +256,14 @@ def repeated_runs(docs: DataFrame, window: int = WINDOW, m: int = MINIMISER, sha
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         out: list[tuple] = []
         string, total, first = (None, None), 0, None
-        for mini, whole, rows in by_minimiser(batches, *held):
+        known: list[pa.RecordBatch] = []
+        for mini, whole, rows in by_minimiser(without_places(batches, known), *held):
+            while known:
+                done = known.pop().to_pydict()
+                yield _batch([(None, u, None, None, None, _runs([(0, n)], a)) for u, a, n in zip(done["uid"], done["start"], done["many"])])
             if whole:
                 found = repeated([(x, n) for *_, n, x in rows], packer.unpack, window)
-                out += [(None, u, None, None, None, _runs(found[x], a)) for u, a, _, _, x in rows if x in found]
+                out += [(None, u, None, None, None, _runs(found[x], a)) for u, a, _, _, x in rows if u and x in found]
             else:
                 for u, a, many, n, x in rows:
                     if (mini, x) != string:
@@ -257,12 +277,16 @@ def repeated_runs(docs: DataFrame, window: int = WINDOW, m: int = MINIMISER, sha
                     if first:
                         out.append((None, first[0], None, None, None, _runs([(0, first[2])], first[1])))
                         first = None
-                    out.append((None, u, None, None, None, _runs([(0, many)], a)))
+                    if u:
+                        out.append((None, u, None, None, None, _runs([(0, many)], a)))
             if len(out) > 4096:
                 yield _batch(out)
                 out = []
         if total:
             out.append((string[0], *(first[:2] if first else (None, None)), total, string[1], None))
+        for batch in known:
+            done = batch.to_pydict()
+            out += [(None, u, None, None, None, _runs([(0, n)], a)) for u, a, n in zip(done["uid"], done["start"], done["many"])]
         yield _batch(out)
 
     schema = f"mini long, uid binary, start long, times long, packed binary, runs {RUNS}"
@@ -293,6 +317,23 @@ def repeated_runs(docs: DataFrame, window: int = WINDOW, m: int = MINIMISER, sha
     return runs.unionByName(places.join(found, "pid").select("uid", shift.alias("runs")))
 
 
+def cut_rows(mini: np.ndarray, salt: list, uid: list, start: list, many: list, times: list, packed: list) -> pa.Table:
+    """Strings with their place (uid null: places that travel by themselves), or places alone (packed null, salt -1)."""
+    kinds = (pa.int64(), pa.int32(), pa.binary(), pa.int64(), pa.int32(), pa.int64(), pa.binary())
+    names = ("mini", "salt", "uid", "start", "many", "times", "packed")
+    return pa.table({n: pa.array(c, k) for n, c, k in zip(names, (mini, salt, uid, start, many, times, packed), kinds)})
+
+
+def without_places(batches: Iterator[pa.RecordBatch], places: list[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The batches' strings; rows that are places alone are put aside."""
+    for b in batches:
+        alone = b.column(b.schema.get_field_index("packed")).is_null()
+        if alone.true_count:
+            places.append(b.filter(alone))
+            b = b.filter(pc.invert(alone))
+        yield b
+
+
 def _runs(runs: list[tuple[int, int]], at: int) -> list[dict]:
     return [{"start": at + a, "n": n} for a, n in runs]
 
