@@ -276,7 +276,13 @@ def candidates(texts: DataFrame, shingle: int, similarity: float, radius: int =
     other of over four times as many.
     """
 
-    def flat(t: pa.Table, common: np.ndarray | None, parts: np.ndarray | None) -> pa.Table:
+    # Every task gets a copy of its own.
+    seen = jaccard.Seen()
+
+    def flat(t: pa.Table, common: np.ndarray | None, parts: np.ndarray | None) -> Iterator[pa.Table]:
+        t = seen.new(t)
+        if not t.num_rows:
+            return
         all_hashes = [jaccard.hashes(x, shingle) for x in t["text"].to_pylist()]
         fp = np.fromiter(map(majority, all_hashes), np.uint64, len(all_hashes))
         sets = [np.unique(h) for h in all_hashes]
@@ -290,10 +296,10 @@ def candidates(texts: DataFrame, shingle: int, similarity: float, radius: int =
         if common is not None and len(common):
             place = np.minimum(np.searchsorted(common, tokens), len(common) - 1)
             salt = np.where(common[place] == tokens, dealt(k, tokens, parts[place]), 0).astype(np.int32)
-        return pa.table({"token": tokens.view(np.int64), "salt": salt, "k": k, "fp": fp.view(np.int64)[at], "n": size[at], "left": left})
+        yield pa.table({"token": tokens.view(np.int64), "salt": salt, "k": k, "fp": fp.view(np.int64)[at], "n": size[at], "left": left})
 
     schema = "token long, salt int, k long, fp long, n int, left int"
-    some = map_batches(texts.where(F.pmod("k", F.lit(SAMPLE)) == 0), lambda t: flat(t, None, None), schema, 256).select("token", "k").distinct()
+    some = map_batches(texts.where(F.pmod("k", F.lit(SAMPLE)) == 0), lambda t: flat(t, None, None), schema, 128).select("token", "k").distinct()
     often = some.groupBy("token").count().where(F.col("count") >= COMMON).orderBy(F.desc("count"), "token").limit(TOLD).toArrow()
     order = np.argsort(often["token"].to_numpy().view(np.uint64))
     common = often["token"].to_numpy().view(np.uint64)[order]
@@ -314,7 +320,7 @@ def candidates(texts: DataFrame, shingle: int, similarity: float, radius: int =
         if held is not None and len(held["k"]):
             yield shard_links(held, np.zeros(0, np.int64), similarity, radius)
 
-    rows = map_batches(texts, lambda t: flat(t, common, parts), schema, 256)
+    rows = map_batches(texts, lambda t: flat(t, common, parts), schema, 128)
     return rows.repartition("token", "salt").sortWithinPartitions("token", "salt").mapInArrow(meet, "a long, b long").distinct()
 
 
@@ -363,7 +369,7 @@ def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", sh
     digest, and are read as a whole, of any length. An empty table gives an
     empty result; no other column is looked at.
     """
-    texts = jaccard.distinct_texts(docs, text_col)
+    texts = jaccard.keyed_texts(docs, text_col)
     groups_of = components(as_table(candidates(texts, shingle, similarity, radius), "candidates"), "candidate-components")
     members = as_table(groups_of.select(F.col("node").alias("k"), "root"), "members")
     found = as_table(jaccard.checked(texts, members, shingle, similarity), "similar")
