@@ -25,7 +25,7 @@ ROUNDS = 30
 BUCKETS = 1 << 15
 LEXICON = 200
 #: A task forgets the words it has met beyond this number, or so many characters.
-KNOWN, KNOWN_CHARS = 150_000, 4 << 20
+KNOWN, KNOWN_CHARS = 100_000, 4 << 20
 #: Words that take their steps together, about.
 TOGETHER = 400_000
 UNKNOWN = "und"

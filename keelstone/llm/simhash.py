@@ -22,7 +22,7 @@ RADIUS = 3
 NEAR = 16
 #: Texts of one in so many are looked at for common shingles; those in so many
 #: of them are common, and at most so many are told to the tasks.
-SAMPLE, COMMON, TOLD = 16, 3, 1_000_000
+SAMPLE, COMMON, TOLD = 16, 3, 250_000
 #: A group of more fingerprints than this is dealt out as several shard trees.
 SHARD = 4096
 #: Below this many fingerprints a tree is walked one query at a time.
@@ -303,7 +303,7 @@ def candidates(texts: DataFrame, shingle: int, similarity: float, radius: int =
     often = some.groupBy("token").count().where(F.col("count") >= COMMON).orderBy(F.desc("count"), "token").limit(TOLD).toArrow()
     order = np.argsort(often["token"].to_numpy().view(np.uint64))
     common = often["token"].to_numpy().view(np.uint64)[order]
-    parts = np.maximum(1, -(-often["count"].to_numpy()[order] * SAMPLE // SHARD)).astype(np.uint64)
+    parts = np.maximum(1, -(-often["count"].to_numpy()[order] * SAMPLE // SHARD)).astype(np.uint32)
 
     def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """Rows come by shingle and part; a shard may go on in the next batch."""
