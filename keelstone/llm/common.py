@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import ctypes
+import gc
 import tempfile
 import threading
 import uuid
@@ -70,15 +72,29 @@ def as_table(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
-def map_batches(df: DataFrame, f: Callable[[pa.Table], Iterator[pa.Table] | pa.Table], schema: str, rows: int = 2048) -> DataFrame:
-    """mapInArrow with f applied to slices of at most ``rows`` rows."""
+def give_back() -> None:
+    """Return a worker's free memory to the machine: workers live on between tasks and stages."""
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL("libc.so.6").malloc_trim(0)
+    except (OSError, AttributeError):
+        pass  # another C library: it keeps what it has
+
+
+def map_batches(df: DataFrame, f: Callable[[pa.Table], Iterator[pa.Table] | pa.Table], schema: str, rows: int = 2048, done: Callable[[], None] = lambda: None) -> DataFrame:
+    """mapInArrow with f applied to slices of at most ``rows`` rows; ``done`` is called at a task's end."""
 
     def run(batches):
-        for batch in batches:
-            for at in range(0, batch.num_rows, rows):
-                out = f(pa.Table.from_batches([batch.slice(at, rows)]))
-                for t in [out] if isinstance(out, pa.Table) else out:
-                    yield from t.to_batches()
+        try:
+            for batch in batches:
+                for at in range(0, batch.num_rows, rows):
+                    out = f(pa.Table.from_batches([batch.slice(at, rows)]))
+                    for t in [out] if isinstance(out, pa.Table) else out:
+                        yield from t.to_batches()
+        finally:
+            done()
+            give_back()
 
     return df.mapInArrow(run, schema)
 

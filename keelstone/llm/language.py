@@ -262,11 +262,15 @@ def _verdicts(docs: DataFrame, field: Field, columns: list[str], text_col: str)
                 pred[i], score[i], sure[i] = model.labels[int(m.argmax())], min(1.0, float(m.max())), x
         return pa.table({f"c{k}": t[f"c{k}"] for k in range(len(columns))} | {"lang_pred": pa.array(pred, pa.string()), "score": pa.array(score), "sure": pa.array(sure)})
 
+    def forget() -> None:
+        known.clear()
+        state.update(emission=state["emission"][:0].copy(), chars=0)
+
     # The text travels once, also where it is one of the columns.
     text = f"c{columns.index(text_col)}" if text_col in columns else "text"
     rows = docs.select(*[F.col(c).alias(f"c{k}") for k, c in enumerate(columns)], *([] if text_col in columns else [utf8(text_col).alias("text")]))
     schema = ", ".join([*(f"c{k} {types[c]}" for k, c in enumerate(columns)), "lang_pred string", "score double", "sure double"])
-    return map_batches(rows, run, schema, 4096)
+    return map_batches(rows, run, schema, 4096, forget)
 
 
 def identify(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> DataFrame:

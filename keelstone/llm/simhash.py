@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from xxhash import xxh64_intdigest
 
 from keelstone.llm import jaccard
-from keelstone.llm.common import as_table, documents, map_batches, utf8
+from keelstone.llm.common import as_table, documents, give_back, map_batches, utf8
 from keelstone.llm.components import components
 from keelstone.llm.jaccard import SHINGLE, SIMILARITY
 
@@ -319,6 +319,8 @@ def candidates(texts: DataFrame, shingle: int, similarity: float, radius: int =
                 held = {c: v[cuts[-1] :] for c, v in held.items()}
         if held is not None and len(held["k"]):
             yield shard_links(held, np.zeros(0, np.int64), similarity, radius)
+        held = None
+        give_back()
 
     rows = map_batches(texts, lambda t: flat(t, common, parts), schema, 128)
     return rows.repartition("token", "salt").sortWithinPartitions("token", "salt").mapInArrow(meet, "a long, b long").distinct()
