@@ -25,6 +25,8 @@ NEAR = 16
 SAMPLE, COMMON, TOLD = 16, 3, 250_000
 #: A group of more fingerprints than this is dealt out as several shard trees.
 SHARD = 4096
+#: The same for the texts under a shingle, and rows that a task hands on at a time there.
+CROWD, ROWS = 16_384, 1 << 17
 #: Below this many fingerprints a tree is walked one query at a time.
 SMALL = 48
 
@@ -94,26 +96,35 @@ def spanning(values: np.ndarray, radius: int) -> list[tuple[int, int]]:
 
 def walked(values: np.ndarray, radius: int, allowed: Callable[[int, np.ndarray], np.ndarray] | None = None) -> list[tuple[int, int]]:
     """Links (i, j) between places of values, as ``spanning``; allowed(i, js): which links count besides."""
-    label, out = np.arange(len(values)), []
-    # A tree over the rows `own` (its root first), walked by all queries at once.
-    todo = [(np.arange(len(values)), np.arange(len(values)))]
+    every = np.arange(len(values), dtype=np.int32)
+    label, out = every.copy(), []
+    # A tree over the rows `own` (its root first), walked by all queries at once:
+    # those asked at the node above whose distance from it suits the tree's edge.
+    todo = [(every, every, None, 0)]
     while todo:
-        own, asked = todo.pop()
+        own, asked, far, edge = todo.pop()
+        if far is not None:
+            asked = asked[np.abs(far - edge) <= radius]
+        if (label[own] == label[own[0]]).all():
+            # All of the tree is joined: it has nothing for queries joined to it.
+            asked = asked[label[asked] != label[own[0]]]
+        if not asked.size:
+            continue
         root, rest = own[0], own[1:]
-        far = np.bitwise_count(values[asked] ^ values[root]).astype(np.int64)
+        far = np.bitwise_count(values[asked] ^ values[root]).astype(np.int8)
         hit = asked[far <= radius]
         if allowed is not None:
             hit = hit[allowed(root, hit)]
-        for x in np.unique(label[hit]):
-            if x != label[root]:
-                out.append((int(root), int(hit[label[hit] == x][0])))
-                label[label == x] = label[root]
-        if not rest.size:
-            continue
-        edge = np.bitwise_count(values[rest] ^ values[root]).astype(np.int64)
-        for e in np.unique(edge):
-            if (into := asked[np.abs(far - e) <= radius]).size:
-                todo.append((rest[edge == e], into))
+        met, first = np.unique(label[hit], return_index=True)
+        new = met != label[root]
+        if new.any():
+            out += [(int(root), int(i)) for i in hit[first[new]]]
+            joins = np.zeros(len(values), bool)
+            joins[met[new]] = True
+            label[joins[label]] = label[root]
+        if rest.size:
+            edges = np.bitwise_count(values[rest] ^ values[root]).astype(np.int8)
+            todo += [(rest[edges == e], asked, far, e) for e in np.unique(edges)]
     return out
 
 
@@ -271,9 +282,10 @@ def candidates(texts: DataFrame, shingle: int, similarity: float, radius: int =
     have fingerprints within ``radius`` bits. The texts under a shingle are a
     shard with a BK-tree over their fingerprints, walked by all of them. Common
     shingles come last in the order, so that prefixes hold them only in texts
-    made of little else; such a shard is dealt out anew for each shingle, in
-    parts of SHARD texts by what a sample of the texts shows, and so is any
-    other of over four times as many.
+    made of little else. A shard of over CROWD texts, by what a sample of them
+    shows, is dealt out in parts, each of which meets each other one in a task
+    of its own, so that all its pairs still meet; the sample decides only how
+    the work is shared.
     """
 
     # Every task gets a copy of its own.
@@ -291,19 +303,23 @@ def candidates(texts: DataFrame, shingle: int, similarity: float, radius: int =
             sets = [jaccard.prefix(s, common, similarity) for s in sets]
         at = np.repeat(np.arange(len(sets)), list(map(len, sets)))
         left = np.concatenate([n - np.arange(len(s)) for n, s in zip(size, sets)]).astype(np.int32)
-        tokens, k = np.concatenate(sets), t["k"].to_numpy()[at]
-        salt = np.zeros(len(tokens), np.int32)
+        tokens, k = np.concatenate(sets), t["k"].to_numpy()
+        many = np.ones(len(tokens), np.int64)
         if common is not None and len(common):
             place = np.minimum(np.searchsorted(common, tokens), len(common) - 1)
-            salt = np.where(common[place] == tokens, dealt(k, tokens, parts[place]), 0).astype(np.int32)
-        yield pa.table({"token": tokens.view(np.int64), "salt": salt, "k": k, "fp": fp.view(np.int64)[at], "n": size[at], "left": left})
-
-    schema = "token long, salt int, k long, fp long, n int, left int"
+            many = np.where(common[place] == tokens, parts[place], 1)
+        # So many tokens at a time that their rows, one for each part that a text meets, stay few.
+        for step in np.split(np.arange(len(tokens)), np.flatnonzero(np.diff(np.cumsum(many) // ROWS)) + 1):
+            row, salt = dealt(k[at[step]], tokens[step], many[step])
+            row = step[row]
+            yield pa.table({"token": tokens.view(np.int64)[row], "salt": salt, "k": k[at[row]], "fp": fp.view(np.int64)[at[row]], "n": size[at[row]], "left": left[row]})
+
+    schema = "token long, salt long, k long, fp long, n int, left int"
     some = map_batches(texts.where(F.pmod("k", F.lit(SAMPLE)) == 0), lambda t: flat(t, None, None), schema, 128).select("token", "k").distinct()
     often = some.groupBy("token").count().where(F.col("count") >= COMMON).orderBy(F.desc("count"), "token").limit(TOLD).toArrow()
     order = np.argsort(often["token"].to_numpy().view(np.uint64))
     common = often["token"].to_numpy().view(np.uint64)[order]
-    parts = np.maximum(1, -(-often["count"].to_numpy()[order] * SAMPLE // SHARD)).astype(np.uint32)
+    parts = np.maximum(1, -(-often["count"].to_numpy()[order] * SAMPLE // CROWD))
 
     def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """Rows come by shingle and part; a shard may go on in the next batch."""
@@ -326,14 +342,21 @@ def candidates(texts: DataFrame, shingle: int, similarity: float, radius: int =
     return rows.repartition("token", "salt").sortWithinPartitions("token", "salt").mapInArrow(meet, "a long, b long").distinct()
 
 
-def dealt(k: np.ndarray, token: np.ndarray, parts: np.ndarray) -> np.ndarray:
-    """The part that each text goes to, another one under each shingle."""
-    mixed = (k.view(np.uint64) ^ np.asarray(token).view(np.uint64)) * np.uint64(0x9E3779B97F4A7C15) >> np.uint64(33)
-    return (mixed % parts).astype(np.int64)
+def dealt(k: np.ndarray, token: np.ndarray, parts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(place, salt): each row once for each of its shard's parts, which it meets under that salt.
+
+    A text's own part is another one under each shingle. Two texts of a shard
+    have one salt in common at least, whichever parts they are in.
+    """
+    mixed = (k.view(np.uint64) ^ token.view(np.uint64)) * np.uint64(0x9E3779B97F4A7C15) >> np.uint64(33)
+    own = np.repeat((mixed % parts.astype(np.uint64)).astype(np.int64), parts)
+    of, place = np.repeat(parts, parts), np.repeat(np.arange(len(parts)), parts)
+    other = np.arange(len(of)) - np.repeat(np.cumsum(parts) - parts, parts)
+    return place, np.minimum(own, other) * of + np.maximum(own, other)
 
 
 def shard_links(rows: dict[str, np.ndarray], cuts: np.ndarray, similarity: float, radius: int) -> pa.RecordBatch:
-    """Links (a, b), a below b, within each shard of rows(k, fp, n, left), cut at ``cuts``."""
+    """Links (a, b), a below b, that join what all pairs join within each shard of rows(k, fp, n, left), cut at ``cuts``; of any size."""
     k, fp, n, left = rows["k"], rows["fp"].view(np.uint64), rows["n"].astype(np.int64), rows["left"].astype(np.int64)
     starts = np.append(0, cuts).astype(np.int64)
     many = np.diff(np.append(starts, len(k)))
@@ -342,13 +365,9 @@ def shard_links(rows: dict[str, np.ndarray], cuts: np.ndarray, similarity: float
     good = (np.bitwise_count(fp[i] ^ fp[i + 1]) <= radius) & jaccard.possible(n[i], left[i], n[i + 1], left[i + 1], similarity)
     found = [np.column_stack([k[i[good]], k[i[good] + 1]])]
     for a, m in zip(starts[many > 2].tolist(), many[many > 2].tolist()):
-        part = np.zeros(m, np.int64) if m <= 4 * SHARD else dealt(k[a : a + m], rows["token"][a], np.uint64(-(-m // SHARD)))
-        for x in range(int(part.max()) + 1):
-            own = a + np.flatnonzero(part == x)
-            kk, nn, ll = k[own], n[own], left[own]
-            links = walked(fp[own], radius, lambda r, js, nn=nn, ll=ll: jaccard.possible(nn[r], ll[r], nn[js], ll[js], similarity)) if len(own) > 1 else []
-            if links:
-                found.append(kk[np.array(links)])
+        kk, nn, ll = k[a : a + m], n[a : a + m], left[a : a + m]
+        if links := walked(fp[a : a + m], radius, lambda r, js, nn=nn, ll=ll: jaccard.possible(nn[r], ll[r], nn[js], ll[js], similarity)):
+            found.append(kk[np.array(links)])
     pairs = np.sort(np.concatenate(found), axis=1)
     pairs = np.unique(pairs[pairs[:, 0] != pairs[:, 1]], axis=0)
     return pa.RecordBatch.from_arrays([pa.array(pairs[:, 0]), pa.array(pairs[:, 1])], ["a", "b"])

@@ -92,3 +92,29 @@ def test_null_and_repeated_ids_are_judged_by_their_texts(spark):
     out = sorted(((r["doc_id"], r["text"]) for r in corpus_pipeline.drop_near_duplicates(spark, df, SF).collect()), key=str)
     assert out == sorted([(1, a), (5, b), (7, "x y z"), (7, "p q r"), (None, c)], key=str)
     assert simhash.keep_one(df).columns == df.columns and {r["_nulls"] for r in simhash.keep_one(df).collect()} == {"x"}
+
+
+def test_no_pair_of_a_crowded_shard_is_lost():
+    """More than four times SHARD texts under a shingle, of which each has one partner."""
+    m = 4 * simhash.SHARD + 2
+    fp = np.repeat(np.random.default_rng(3).integers(0, 2**63, m // 2), 2)
+    rows = {"token": np.full(m, 5), "k": np.random.default_rng(4).permutation(m) * 7919, "fp": fp, "n": np.full(m, 10), "left": np.full(m, 10)}
+    pairs = simhash.shard_links(rows, np.zeros(0, np.int64), 0.8, 0)
+    assert {frozenset(x) for x in zip(*(c.to_pylist() for c in pairs.columns))} == {frozenset(x) for x in rows["k"].reshape(-1, 2).tolist()}
+
+
+def test_parts_of_a_crowded_shingle_meet_pairwise(spark, monkeypatch):
+    """Texts with one shingle only, which is common: all are similar, whatever parts they are dealt to."""
+    monkeypatch.setattr(simhash, "SAMPLE", 1)
+    monkeypatch.setattr(simhash, "SHARD", 2)
+    monkeypatch.setattr(simhash, "CROWD", 2, raising=False)
+    cased = ["".join(c.upper() if i >> b & 1 else c for b, c in enumerate("abcde")) for i in range(32)]
+    rows = [(i, " ".join(x)) for i, x in enumerate(cased)] + [(100 + i, f"other words {i}") for i in range(3)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    links = simhash.candidates(jaccard.keyed_texts(df), 5, 0.8).collect()
+    up = {x: x for r in links for x in r}
+    for r in links:
+        a, b = up[r["a"]], up[r["b"]]
+        up = {x: a if y == b else y for x, y in up.items()}
+    assert len(up) == 32 and len(set(up.values())) == 1
+    assert sorted(r["doc_id"] for r in simhash.keep_one(df).collect()) == [0, 100, 101, 102]
