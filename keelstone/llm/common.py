@@ -16,6 +16,9 @@ from pyspark.sql import functions as F
 
 _LOCK, _WRITERS, _BEFORE = threading.Lock(), [], []
 
+#: Bytes of rows that go to a Python worker at once, about, after ``small_batches``.
+BATCH_BYTES = 8 << 20
+
 #: The six ASCII white-space characters that separate words.
 SPACES = " \t\n\x0b\x0c\r"
 #: One or more of them, for Java and DuckDB expressions alike.
@@ -72,6 +75,20 @@ def as_table(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def small_batches(spark: SparkSession) -> None:
+    """From now on the session's rows go to Python workers at most BATCH_BYTES at a time; a smaller setting stays.
+
+    10,000 rows of text are one batch otherwise, of up to 64 MB, and an
+    executor's allocator keeps much of what such buffers took. The setting
+    stays, as a frame is planned when it is run. A longer row is a batch of its
+    own; no result depends on it.
+    """
+    key = "spark.sql.execution.arrow.maxBytesPerBatch"
+    now = spark.conf.get(key, None)
+    if now is None or not 0 < spark._jvm.org.apache.spark.network.util.JavaUtils.byteStringAsBytes(now) <= BATCH_BYTES:
+        spark.conf.set(key, str(BATCH_BYTES))
+
+
 def give_back() -> None:
     """Return a worker's free memory to the machine: workers live on between tasks and stages."""
     gc.collect()

@@ -1,5 +1,7 @@
 from collections import Counter
 
+import pyarrow as pa
+
 import corpus_pipeline
 from keelstone.llm import language, mixing, packing, secrets
 from tests.llm.test_jaccard import brute as kept_by_all_pairs
@@ -64,3 +66,25 @@ def test_odd_rows_go_through_every_stage(spark, tmp_path):
 def test_run_gives_the_last_stage(spark):
     assert corpus_pipeline.run(spark, SF).columns[:5] == ["doc_id", "piece", "start", "length", "ids_crc32"]
     assert [n for n, _ in corpus_pipeline.STAGES] == ["language", "near_duplicates", "secrets", "mixing", "packing"]
+
+
+def test_stages_with_python_hand_over_few_bytes_at_a_time(spark):
+    key = "spark.sql.execution.arrow.maxBytesPerBatch"
+    docs = spark.createDataFrame([(i, f"the and with that {i}", "en", "s", 9) for i in range(9)], "doc_id long, text string, lang string, source string, n_chars long")
+    large = spark.range(0, 400, 1, 1).selectExpr("repeat('some text ', 10000) AS text")
+
+    def sizes(batches):
+        for b in batches:
+            yield pa.RecordBatch.from_pydict({"bytes": [b.nbytes]})
+
+    try:
+        for stage in (corpus_pipeline.tell_language, corpus_pipeline.drop_near_duplicates, corpus_pipeline.pack_sequences):
+            spark.conf.unset(key)
+            stage(spark, docs, SF)
+            assert 36e6 < sum(found := [r["bytes"] for r in large.mapInArrow(sizes, "bytes long").collect()]) < 44e6
+            assert max(found) < 1.2 * (8 << 20)
+        spark.conf.set(key, "1m")
+        corpus_pipeline.pack_sequences(spark, docs, SF)
+        assert spark.conf.get(key) == "1m"
+    finally:
+        spark.conf.unset(key)
