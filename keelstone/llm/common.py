@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 _LOCK, _WRITERS, _BEFORE = threading.Lock(), [], []
 
 #: Bytes of rows that go to a Python worker at once, about, after ``small_batches``.
-BATCH_BYTES = 8 << 20
+BATCH_BYTES = 4 << 20
 
 #: The six ASCII white-space characters that separate words.
 SPACES = " \t\n\x0b\x0c\r"
